@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, lines
+from quern.llm import chat, langid, lines, secrets, toxicity
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": lines.op3_line_dedup, "op5_chat_formatting": chat.op5_chat_formatting}
+    return {"op3_line_dedup": lines.op3_line_dedup, "op5_chat_formatting": chat.op5_chat_formatting,
+        "op6_language_id": langid.op6_language_id, "op7_toxicity": toxicity.op7_toxicity, "op10_secret_scan": secrets.op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
