@@ -175,7 +175,13 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> ToxicModel
         return 2 * (a * np.log(a / n1 / p) + (b * np.log(b / n0 / p) if b else 0.0))
 
     picked = sorted(((s, x) for x in df[1] if (s := strength(x)) > 15), key=lambda v: (-v[0], v[1]))[:MAX_FEATURES]
-    names = [x for _, x in picked]
+    # a beginning gives way to a longer one that stands in nearly all of its toxic texts
+    longer = Counter()
+    for _, x in picked:
+        for k in range(4, min(7, len(x))):
+            if x[0] != "=":
+                longer[x[:k]] = max(longer[x[:k]], df[1][x])
+    names = [x for _, x in picked if x[0] == "=" or longer[x] < 0.95 * df[1][x]]
     at = {x: i for i, x in enumerate(names)}
     # obfuscated words are mostly insults: their model is the corpus' words with the learned ones weighed up
     every: Counter[str] = Counter()
