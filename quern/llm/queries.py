@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, langid, lines, secrets, toxicity
+from quern.llm import chat, jaccard, langid, lines, secrets, toxicity
+from quern.llm.common import ship
+
+
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {"op3_line_dedup": lines.op3_line_dedup, "op5_chat_formatting": chat.op5_chat_formatting,
-        "op6_language_id": langid.op6_language_id, "op7_toxicity": toxicity.op7_toxicity, "op10_secret_scan": secrets.op10_secret_scan}
+    found = {"op3_line_dedup": lines.op3_line_dedup, "op5_chat_formatting": chat.op5_chat_formatting,
+        "op6_language_id": langid.op6_language_id, "op7_toxicity": toxicity.op7_toxicity, "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join, "op10_secret_scan": secrets.op10_secret_scan}
+    return {name: _shipped(q) for name, q in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.ORACLE, "op5_chat_formatting": chat.ORACLE}
+    return {"op3_line_dedup": lines.ORACLE, "op5_chat_formatting": chat.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE}
