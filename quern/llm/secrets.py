@@ -232,8 +232,9 @@ def all_spans(text: str, model: Crf | None) -> list[tuple[int, int, int]]:
 
 
 def training_texts(docs: DataFrame, bound: int = TRAIN_DOCS) -> list[str]:
-    rows = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id", "text").limit(bound)
-    return [r["text"] for r in rows.collect()]
+    ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "text").where(F.col("text").isNotNull()).collect()  # ids: `bound` rows
+    return [r["text"] for r in sorted(rows)][:bound]
 
 
 def find_secrets(docs: DataFrame, model: Crf | None) -> DataFrame:
