@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import chat, jaccard, langid, lines, secrets, toxicity
+from quern.llm import chat, decontaminate, jaccard, langid, lines, secrets, syncmers, toxicity
 from quern.llm.common import ship
 
 
@@ -15,10 +15,10 @@ def _shipped(query):
 
 
 def queries() -> dict:
-    found = {"op3_line_dedup": lines.op3_line_dedup, "op5_chat_formatting": chat.op5_chat_formatting,
+    found = {"op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination, "op3_line_dedup": lines.op3_line_dedup, "op4_document_fingerprints": syncmers.op4_document_fingerprints, "op5_chat_formatting": chat.op5_chat_formatting,
         "op6_language_id": langid.op6_language_id, "op7_toxicity": toxicity.op7_toxicity, "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join, "op10_secret_scan": secrets.op10_secret_scan}
     return {name: _shipped(q) for name, q in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": lines.ORACLE, "op5_chat_formatting": chat.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE}
+    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op3_line_dedup": lines.ORACLE, "op5_chat_formatting": chat.ORACLE, "op8_ngram_jaccard_join": jaccard.ORACLE}
