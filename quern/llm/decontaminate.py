@@ -32,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ASCII_SPACE, lower_ascii, table
+from quern.llm.common import ASCII_SPACE, lower_ascii, materialize, table
 
 K, SIMILAR, RADIUS = 5, 0.8, 21
 BROADCAST_ROWS = 500_000
@@ -101,7 +101,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every leaking window: doc_id, item_id, start (word), n_words, distance, similarity."""
-    items = items_of(benchmark)
+    items = materialize(items_of(benchmark), "items")  # as a table: filters on it would be worked out anew from the texts, for every shingle
     counts: dict[int, list[int]] = {}
     for r in items.groupBy("k", F.size("sh").alias("m")).count().collect():  # one row per item length
         counts.setdefault(r["k"], []).append(r["m"])
@@ -122,9 +122,9 @@ def _leaks(d: DataFrame, items: DataFrame, k: int, step: int) -> DataFrame:
     last = F.greatest(F.lit(0), F.least(F.col("at"), F.col("len") - F.col("n")))
     # seeds near each other want the same windows: one row for each
     starts = seeds.where(first <= last).select("row", "n", F.explode(F.sequence(first, last)).alias("start")).distinct()
-    wanted = starts.groupBy("row").agg(F.collect_list(F.struct("n", "start")).alias("windows"))
+    wanted = materialize(starts.groupBy("row").agg(F.collect_list(F.struct("n", "start")).alias("windows")), "windows")
     # 2. fingerprints of those windows; texts are read again for documents with seeds only
-    rows = wanted.select("row").distinct()
+    rows = wanted.select("row")
     held = d.join(F.broadcast(rows), "row", "left_semi") if small and rows.count() <= BROADCAST_ROWS else d
     # (words in a step of their own: inside the lambda they would be split again for every shingle)
     held = held.join(wanted, "row").select("doc_id", "windows", words(F.col("text")).alias("w")).select("doc_id", "windows", shingles(F.col("w"), k).alias("all"))
