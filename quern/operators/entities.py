@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.plans.schema import SchemaError, field, key_of, nullable
+from quern.plans.schema import SchemaError, absent, field, key_of, nullable
 
 if TYPE_CHECKING:
     from quern.sources.database import Database
@@ -52,13 +52,10 @@ class Entities:
 
     def get_all(self) -> DataFrame:
         """All documents, in no order.  Lazy; every call lists the files anew, so it sees what was appended before it."""
+        # names are case-sensitive: one that is stored in another case only is not stored
         known = self._known_fields()
-        low = {n.lower() for n in known}
-        # a name that is stored in another case only is a field that is not stored
-        absent = {f.name for f in self.stored.fields if f.name not in known and f.name.lower() in low}
-        present = T.StructType([f for f in self.stored.fields if f.name not in absent])
-        df = self.spark.read.schema(present).parquet(self.path)
-        return df.select(*[field(F.lit(None).cast(s.dataType) if f.name in absent else F.col(f"`{f.name}`"), f).alias(f.name, metadata=f.metadata) for f, s in zip(self.schema.fields, self.stored.fields)])
+        df = self.spark.read.schema(T.StructType([f for f in self.stored.fields if f.name in known])).parquet(self.path)
+        return df.select(*[(field(F.col(f"`{f.name}`"), f) if f.name in known else absent(f)).alias(f.name, metadata=f.metadata) for f in self.schema.fields])
 
     # --- append ---
 

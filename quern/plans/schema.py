@@ -128,10 +128,11 @@ def _needs_default(t: T.DataType) -> bool:
 
 
 def _default(f: T.StructField) -> object:
+    """What a null reads as: nothing where the schema allows nulls, and in keys, which never are (so filters on them reach the scan)."""
+    if f.nullable or f.metadata.get("key"):
+        return None
     if "default" in f.metadata:
         return f.metadata["default"]
-    if f.nullable or f.metadata.get("key"):  # keys are never null, so filters on them reach the scan
-        return None
     return {T.BooleanType: False}.get(type(f.dataType), 0 if isinstance(f.dataType, T.NumericType) else None)
 
 
@@ -145,6 +146,12 @@ def with_defaults(c: Column, t: T.DataType) -> Column:
     return F.when(c.isNotNull(), F.struct(*[field(c[f.name], f).alias(f.name) for f in t.fields]))
 
 
+def absent(f: T.StructField) -> Column:
+    """A field that was never stored: its default."""
+    d = f.metadata.get("default", _default(f))
+    return F.lit(d).cast(f.dataType)
+
+
 def field(c: Column, f: T.StructField) -> Column:
     c, d = with_defaults(c, f.dataType), _default(f)
     return c if d is None else F.coalesce(c, F.lit(d).cast(f.dataType))
