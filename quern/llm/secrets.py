@@ -4,7 +4,8 @@ Rules give the base spans.  The CRF tags tokens O, B or I (outside, begin, insid
 secret) from the token's shape, its neighbouring words and features of the file, and is
 decoded by Viterbi.  It is trained here, by stochastic gradient ascent on the conditional
 likelihood, from at most ``TRAIN_DOCS`` documents (those of the smallest id hash) in which
-the rules label the tokens.  Tokens that look random but that no rule covers are left out
+the rules label the tokens; each secret is learned as it is and once more with random letters and
+digits in its place, so that other alphabets are known too.  Tokens that look random but that no rule covers are left out
 of training (they may be unknown secrets), so shape alone can carry a decision elsewhere.
 
 The CRF runs on windows of tokens around seeds: runs of 16 or more key characters with a
@@ -42,6 +43,7 @@ CONTEXT = 48  # characters on either side of a seed
 WORDS = {"password", "passwd", "secret", "token", "key", "apikey", "api", "bearer", "auth", "authorization", "credential", "private", "access", "pwd", "license", "sha", "md5", "commit", "id", "uuid"}
 O, B, I = 0, 1, 2
 DIM = 1 << 12
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -175,9 +177,19 @@ class Crf:
         return viterbi(_emit(self.w, feats), self.t)
 
 
-def examples(text: str) -> list[tuple[list[list[int]], list[int]]]:
-    """Windows that the rules label in full."""
-    values, file, out = _values(text), file_features(text), []
+def respelled(text: str, values: list[tuple[int, int]], rng: np.random.Generator) -> str:
+    """The text with its secrets written in letters of either case and digits: secrets of other alphabets."""
+    out = list(text)
+    for a, b in values:
+        for i in range(a, b):
+            if out[i].isalnum():
+                out[i] = BASE62[rng.integers(62)]
+    return "".join(out)
+
+
+def examples(text: str, values: list[tuple[int, int]]) -> list[tuple[list[list[int]], list[int]]]:
+    """Windows that the values label in full."""
+    file, out = file_features(text), []
     inside = lambda a, b: any(x <= a and b <= y for x, y in values)
     for lo, hi in windows(text):
         if any(_random_like(m[0]) and not any(x < lo + m.end() and lo + m.start() < y for x, y in values) for m in SEED.finditer(text[lo:hi])):
@@ -195,7 +207,13 @@ def examples(text: str) -> list[tuple[list[list[int]], list[int]]]:
 
 
 def train(texts: list[str], epochs: int = 4, rate: float = 0.05, seed: int = 7) -> Crf | None:
-    data = [x for t in texts for x in examples(t)]
+    rng = np.random.default_rng(seed)
+    data = []
+    for t in texts:
+        values = _values(t)
+        data += examples(t, values)
+        if values:
+            data += examples(respelled(t, values, rng), values)
     # plain stretches, so that ordinary words are seen as O in every neighbourhood
     for t in texts[:400]:
         tokens = [m[0] for m in TOKEN.finditer(t[:400])]
@@ -203,7 +221,7 @@ def train(texts: list[str], epochs: int = 4, rate: float = 0.05, seed: int = 7)
             data.append((features(tokens, file_features(t)), [O] * len(tokens)))
     if not any(B in tags for _, tags in data):
         return None
-    model, rng = Crf(), np.random.default_rng(seed)
+    model = Crf()
     for e in range(epochs):
         for i in rng.permutation(len(data)):
             model.step(*data[i], rate / (1 + e))
