@@ -3,21 +3,25 @@
 Two documents link when their shingle sets have a Jaccard similarity of 0.8 or more.
 
 1. Equal sets form classes; only the smallest id of a class goes on.
-2. Stars: documents that share one of six min-hashes are verified against the smallest id
-   of that hash.  This only spares later work: it puts most near copies into components.
-3. Tokens (shingles) get one global order by frequency, counted in a fixed table of
-   ``CELLS`` cells over one document of each component, so a large group of near copies does not
-   make its tokens frequent.  Tokens of cells far above the mean form the frequent class.
-4. A document of n tokens takes a prefix in that order, extended until its weight is
-   n - ceil(0.8 n) + 1.  A rare token weighs 1 and is indexed alone; m frequent tokens weigh
-   m - 1 and are indexed by their pairs.  Were no index entry shared, at least that weight of
-   tokens would differ, so all linked pairs share an entry (of rare ones one token,
-   of frequent ones two).
-5. Entries seen once are dropped by a twice-seen filter of fixed size, entries of one
-   component by a partial aggregation.  Pairs across components that are left are verified
-   exactly, and components are joined.
-
-No group's pairs are listed within a component, so hot groups cost their size, not its square.
+2. Stars: documents that share one of ``N_KEYS`` min-hashes are compared with the smallest id of that
+   hash, a hub.  Links found join components.  A document takes as its hub the
+   most popular one that it resembles (``HUB`` per cent or more); the documents of a hub are a group.
+3. Tokens (shingles) get one global order by frequency, counted in a fixed table of ``CELLS``
+   cells over one document of each component.  Tokens of cells far above the mean are the frequent class.
+4. Pairs within a group are found by their differences from the hub: |x ^ y| = |dx ^ dy| for
+   dx = x ^ hub, and two linked documents, not both linked to the hub, share more of their differences
+   than a prefix of them leaves out (see ``differences``).  Edits of different places share nothing, so
+   near copies of a hub that are no near copies of each other never meet, however many they are.
+5. All other pairs: a document of n tokens takes a prefix in the global order, extended until its weight is
+   n - ceil(0.8 n) + 1.  A rare token weighs 1 and is indexed alone; m frequent tokens weigh m - 1 and
+   are indexed by their pairs.  Were no index entry shared, at least that weight of tokens would differ, so
+   linked pairs share an entry (of rare ones one token, of frequent ones two).
+6. Index entries are kept in blocks of documents.  Each block sends its distinct entries to the entry's bucket, which
+   tells it those that meet entries of another component and another group; only these become rows
+   and are joined.  Pairs left are verified exactly, and components are joined.
+
+A bucket gets an entry once from each block, so a token of a third of all documents costs a line in each block; no
+pairs are listed within a component or, but for shared edits, within a group.
 
 Defined cases: null or empty text has no shingle and links with nothing (its component is
 itself); a null doc_id links with nothing and has a null component; rows that repeat a doc_id
@@ -39,11 +43,12 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import discard, free_shuffles, materialize, table
 from quern.llm.components import connected_components
-from quern.llm.lines import suspected, twice_filter, unpack
 from quern.llm.shingles import mix, shingle_set
+from quern.llm.suffixes import pack, unpack
 
 K, SIMILAR = 5, 80  # words in a shingle; per cent
-N_KEYS, CELLS, CELL_SEGMENTS = 6, 1 << 22, 64
+N_KEYS, HUB, CELLS, CELL_SEGMENTS = 8, 40, 1 << 22, 64
+BLOCK_ENTRIES, BUCKET_ENTRIES = 200_000, 2_000_000
 BROADCAST_ROWS = 1_000_000  # ids: 8 MB
 
 
@@ -66,30 +71,48 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
-def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; a table in the shared folder."""
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, tokens (its set as bytes) of all documents in pairs (a, b); a table."""
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [shingle_set(t, K).tobytes() for t in b["text"]]})
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
+    out = materialize(by_id(docs.select("doc_id", "text"), ids, "left_semi").mapInPandas(run, "doc_id long, tokens binary"), "sets")
+    discard(ids)
+    return out
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
+def compare(pairs: DataFrame, sets: DataFrame, least: int = SIMILAR) -> DataFrame:
+    """a, b, linked of the pairs with a similarity of ``least`` per cent or more; a table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = np.zeros(len(b), bool)
+            keep, linked = np.zeros(len(b), bool), np.zeros(len(b), bool)
             for i, (x, y) in enumerate(zip(b["x"], b["y"])):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if min(len(x), len(y)) * 100 >= SIMILAR * max(len(x), len(y)):
+                if min(len(x), len(y)) * 100 >= least * max(len(x), len(y)):
                     both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    keep[i] = 100 * both >= SIMILAR * (len(x) + len(y) - both)
-            yield b.loc[keep, ["a", "b"]]
+                    keep[i] = 100 * both >= least * (len(x) + len(y) - both)
+                    linked[i] = 100 * both >= SIMILAR * (len(x) + len(y) - both)
+            yield b.loc[keep, ["a", "b"]].assign(linked=linked[keep])
+
+    return materialize(with_sets(pairs, sets).mapInPandas(run, "a long, b long, linked boolean"), "links")
 
+
+def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The linked ones of the pairs (a, b)."""
     pairs = materialize(pairs, "pairs")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "pair-ids")
-    sets = materialize(by_id(docs.select("doc_id", "text"), ids, "left_semi").mapInPandas(sets_of, "doc_id long, tokens binary"), "sets")
-    x = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    out = materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long"), "links")
-    for t in (pairs, ids, sets):
+    sets = sets_of(docs, pairs)
+    out = compare(pairs, sets)
+    for t in (pairs, sets):
         discard(t)
     free_shuffles(docs.sparkSession)
     return out
@@ -136,6 +159,164 @@ def signatures(tokens: np.ndarray, cells: np.ndarray, frequent: float) -> np.nda
     return np.concatenate([tokens[order[:n_rare]], mix(often[a] * np.uint64(3) + mix(often[b]))])
 
 
+def differences(x: np.ndarray, hub: np.ndarray, cells: np.ndarray) -> tuple[bool, list[np.ndarray]]:
+    """Whether x links to the hub, and the index entries of its differences d, rarest first.
+
+    x and y of one hub link if 9 |dx ^ dy| <= |x| + |y|, so they share o differences with
+    18 o >= 9 (|dx| + |dy|) - |x| - |y|.  An x that doesn't link to the hub has 9 |dx| > |x| + |hub|.
+
+    * Against any partner that doesn't: 18 o > 9 |d| + |hub| - |own|.  This holds for both sides, and
+      for a linked y against an unlinked x: one prefix each.
+    * For an unlinked x against a linked y: g = |dx| - (|x| + |hub|) / 9 and |y| <= |hub| + |dy| give
+      o >= 0.9 g: a second, longer prefix.
+    """
+    only_x, only_h = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+    d = np.concatenate([only_x, only_h])
+    d = d[np.lexsort((d, cells[(d & np.uint64(CELLS - 1)).astype(np.int64)], np.arange(len(d)) >= len(only_x)))]
+    linked = 9 * len(d) <= len(x) + len(hub)
+    o = (9 * len(d) + len(hub) - len(x)) // 18 + 1
+    short = d[: max(0, len(d) - o + 1)]
+    if linked:
+        return True, [d[:0], short]
+    g = 9 * len(d) - len(x) - len(hub)  # 9 times g above
+    return False, [short, d[: max(0, len(d) - max(1, -(-g // 10)) + 1)]]
+
+
+def group_pairs(stars: DataFrame, sets: DataFrame, cells, components: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one hub that may link, across components.  stars: a, b (its hub)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for a, h, x, y in zip(b["a"], b["b"], b["x"], b["y"]):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                linked, entries = differences(x, y, cells.value)
+                n_d = len(x) + len(y) - 2 * (len(x) + len(y) - len(np.unique(np.concatenate([x, y]))))
+                for kind, e in enumerate(entries):
+                    out.append(pd.DataFrame({"hub": h, "kind": kind, "token": e.view(np.int64), "at": np.arange(len(e)), "a": a, "n": len(x), "nd": n_d, "linked": linked}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["hub", "kind", "token", "at", "a", "n", "nd", "linked"])
+
+    e = with_sets(stars, sets).mapInPandas(run, "hub long, kind int, token long, at int, a long, n long, nd long, linked boolean")
+    e = materialize(e.join(components.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("c", F.coalesce("component_id", "a")).drop("component_id"), "differences")
+    # entries that meet another component; counted before they are dealt out
+    meets = e.groupBy("hub", "kind", "token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub", "kind", "token")
+    e = materialize(e.join(meets, ["hub", "kind", "token"]), "meeting")
+    x, y = (e.select("hub", "kind", "token", *[F.col(c).alias(f"{p}_{c}") for c in ("at", "a", "n", "nd", "linked", "c")]) for p in ("x", "y"))
+    # enough shared differences can still follow the first shared one
+    rest = "1 + least(x_nd - x_at - 1, y_nd - y_at - 1)"
+    may = f"x_c <> y_c AND NOT x_linked AND (kind = 0 AND x_a < y_a OR kind = 1 AND y_linked) AND 18 * ({rest}) >= 9 * (x_nd + y_nd) - x_n - y_n"
+    return x.join(y, ["hub", "kind", "token"]).where(may).select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
+
+
+def index_pairs(docs: DataFrame, cells, frequent: float, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components and groups that share an index entry.  known: doc_id,
+    component_id, hub of the documents that have one or the other."""
+    spark = docs.sparkSession
+    n_known = known.count()
+    d = docs.join(F.broadcast(known) if n_known <= BROADCAST_ROWS // 4 else known, "doc_id", "left")
+    d = d.select("doc_id", "text", F.coalesce("component_id", "doc_id").alias("c"), F.coalesce("hub", "doc_id").alias("g"))
+
+    def make_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId() << 32, 0
+        rows, total = [], 0
+
+        def block() -> pd.DataFrame:
+            meta = np.array([r[:4] + (len(r[4]),) for r in rows], np.int64)
+            return pd.DataFrame({"block": [part + n], "entries": [total], "meta": [pack(meta)], "sigs": [pack(np.concatenate([r[4] for r in rows]))]})
+
+        for b in batches:
+            for doc, t, c, g in zip(b["doc_id"], b["text"], b["c"], b["g"]):
+                tokens = shingle_set(t, K)
+                s = signatures(tokens, cells.value, frequent)
+                if len(s):
+                    rows.append((doc, c, g, len(tokens), s))
+                    total += len(s)
+                if total >= BLOCK_ENTRIES:
+                    yield block()
+                    rows, total, n = [], 0, n + 1
+        if rows:
+            yield block()
+
+    blocks = materialize(d.mapInPandas(make_blocks, "block long, entries long, meta binary, sigs binary"), "index")
+    total = blocks.select(F.sum("entries")).first()[0] or 0
+    buckets = 8
+    while buckets * BUCKET_ENTRIES < total:
+        buckets *= 2
+
+    def opened(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """meta, the 48-bit entries, and the document of each."""
+        meta, sigs = unpack(r.meta, np.int64).reshape(-1, 5), unpack(r.sigs, np.uint64)
+        return meta, sigs >> np.uint64(16), np.repeat(np.arange(len(meta)), meta[:, 4])
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Distinct entries of a block with a component and a group that have them, and whether there are several."""
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                meta, key, doc = opened(r)
+                order = np.argsort(key, kind="stable")
+                key, doc = key[order], doc[order]
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                marks = []
+                for col in (1, 2):
+                    v = meta[doc, col]
+                    marks.append((v[at], np.maximum.reduceat(v, at) != np.minimum.reduceat(v, at)))
+                k = key[at]
+                where = (k % np.uint64(buckets)).astype(np.int64)
+                for i in np.unique(where):
+                    m = where == i
+                    gaps = np.diff(k[m], prepend=np.uint64(0))
+                    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :6].T)
+                    # components and groups as numbers into short lists
+                    lists = [np.unique(v[m], return_inverse=True) for v, _ in marks]
+                    out.append((int(i), r.block, pack(planes), *[pack(x) for names, at_ in lists for x in (names, at_.astype(np.int32))], pack((marks[0][1][m] | (marks[1][1][m].astype(np.uint8) << 1)).astype(np.uint8))))
+            yield pd.DataFrame(out, columns=["bucket", "block", "keys", "cs", "c", "gs", "g", "several"])
+
+    def find_meeting(b: pd.DataFrame) -> pd.DataFrame:
+        lists, cs, gs, several = [], [], [], []
+        for r in b.itertuples():
+            planes = unpack(r.keys, np.uint8).reshape(6, -1)
+            gaps = np.zeros((planes.shape[1], 8), np.uint8)
+            gaps[:, :6] = planes.T
+            lists.append(np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64))
+            cs.append(unpack(r.cs, np.int64)[unpack(r.c, np.int32)])
+            gs.append(unpack(r.gs, np.int64)[unpack(r.g, np.int32)])
+            several.append(unpack(r.several, np.uint8))
+        key, c, g, sev = (np.concatenate(x) for x in (lists, cs, gs, several))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        meets = np.ones(len(at), bool)
+        for v, bit in ((c[order], 1), (g[order], 2)):
+            meets &= (np.maximum.reduceat(v, at) != np.minimum.reduceat(v, at)) | (np.bitwise_or.reduceat(sev[order] & bit, at) > 0)
+        found = key[at][meets]
+        return pd.DataFrame({"block": b["block"], "keys": [pack(np.intersect1d(x, found, assume_unique=True)) for x in lists]})
+
+    sent = blocks.mapInPandas(send, "bucket int, block long, keys binary, cs binary, c binary, gs binary, g binary, several binary")
+    told = sent.groupBy("bucket").applyInPandas(find_meeting, "block long, keys binary")
+    told = materialize(told.groupBy("block").agg(F.collect_list("keys").alias("keys")), "meeting")
+    del sent
+    free_shuffles(spark)
+
+    def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                wanted = np.sort(np.concatenate([unpack(x, np.uint64) for x in r.keys]))
+                meta, key, doc = opened(r)
+                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key) if len(wanted) else np.zeros(0, int)
+                m = meta[doc[hit]]
+                yield pd.DataFrame({"sig": key[hit].view(np.int64), "doc_id": m[:, 0], "c": m[:, 1], "g": m[:, 2], "n": m[:, 3]})
+
+    rows = materialize(blocks.join(told, "block").mapInPandas(rows_of, "sig long, doc_id long, c long, g long, n long"), "across")
+    for t in (blocks, told):
+        discard(t)
+    x, y = (rows.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "c", "g", "n")]) for p in ("x", "y"))
+    may = f"x_c < y_c AND x_g <> y_g AND least(x_n, y_n) * 100 >= {SIMILAR} * greatest(x_n, y_n)"
+    return x.join(y, "sig").where(may).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+
+
 def component_ids(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -144,57 +325,43 @@ def component_ids(docs: DataFrame) -> DataFrame:
     real = meta.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = materialize(real.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep"), "copies")
-    firsts = real.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    known = docs.where(F.col("doc_id").isNotNull())
+    not_first = materialize(copies.select("doc_id").distinct(), "copy-ids")
+    firsts = real.join(not_first, "doc_id", "left_anti")
+    known = by_id(docs.where(F.col("doc_id").isNotNull()), not_first, "left_anti")
 
     # stars around the smallest id of each min-hash
     keys = materialize(firsts.select("doc_id", "n_shingles", F.posexplode("keys").alias("i", "key")), "keys")
     hubs = keys.groupBy("i", "key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("i", "key", "hub")
-    near = keys.join(hubs, ["i", "key"]).where(f"hub.doc_id <> doc_id AND least(hub.n_shingles, n_shingles) * 100 >= {SIMILAR} * greatest(hub.n_shingles, n_shingles)")
-    links = verify(known, near.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct())
-    stars = materialize(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).where("doc_id <> component_id"), "stars")
-
-    # the index, over all but exact copies; frequencies over one document of each component
-    leaders = by_id(known, copies.select("doc_id").unionByName(stars.select("doc_id")).distinct(), "left_anti")
-    cells = cell_counts(leaders)
-    mean = float(cells.mean())
-    shared = spark.sparkContext.broadcast((cells, 4 * mean + 64))
-    indexed = by_id(known, copies.select("doc_id").distinct(), "left_anti")
-
-    def hashes(b: pd.DataFrame) -> np.ndarray:
-        return np.concatenate([signatures(shingle_set(t, K), *shared.value) for t in b["text"]] or [np.zeros(0, np.uint64)])
-
-    n_tokens = meta.select(F.sum("n_shingles")).first()[0] or 0
-    bits, segs = twice_filter(indexed.select("text"), hashes, int(n_tokens) // 4)
-    seen = spark.sparkContext.broadcast((bits, segs))
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, segs = seen.value
-        twice = unpack(bits, segs)
-        for b in batches:
-            sig, doc, size = [], [], []
-            for d, t in zip(b["doc_id"], b["text"]):
-                tokens = shingle_set(t, K)
-                s = signatures(tokens, *shared.value)
-                s = s[suspected(s, bits, twice)] if len(s) else s
-                sig.append(s.view(np.int64))
-                doc.append(np.full(len(s), d, np.int64))
-                size.append(np.full(len(s), len(tokens), np.int64))
-            yield pd.DataFrame({"sig": np.concatenate(sig), "doc_id": np.concatenate(doc), "n": np.concatenate(size)})
-
-    index = indexed.mapInPandas(entries, "sig long, doc_id long, n long")
-    few = stars.count() <= BROADCAST_ROWS
-    index = index.join(F.broadcast(stars) if few else stars, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    index = materialize(index, "index")
-    across = index.groupBy("sig").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("sig")
-    left = materialize(index.join(across, "sig"), "across")
-    discard(index)
-    x, y = (left.select("sig", *[F.col(c).alias(f"{p}_{c}") for c in ("doc_id", "n", "component_id")]) for p in ("x", "y"))
-    pairs = x.join(y, "sig").where(f"x_component_id < y_component_id AND least(x_n, y_n) * 100 >= {SIMILAR} * greatest(x_n, y_n)")
-    more = verify(known, pairs.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct())
-
-    star_edges = stars.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    final = connected_components(star_edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))).unionByName(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
+    near = keys.join(hubs, ["i", "key"]).where(f"hub.doc_id <> doc_id AND least(hub.n_shingles, n_shingles) * 100 >= {HUB} * greatest(hub.n_shingles, n_shingles)")
+    near = materialize(near.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct(), "near")
+    sets = sets_of(known, near)
+    links = compare(near, sets, HUB)
+    free_shuffles(spark)
+    stars = connected_components(links.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    stars = materialize(stars.where("doc_id <> component_id"), "stars")
+
+    # frequencies over one document of each component
+    leaders = by_id(known, stars.select("doc_id"), "left_anti")
+    counts = cell_counts(leaders)
+    cells = spark.sparkContext.broadcast(counts)
+    frequent = 4 * float(counts.mean()) + 64
+
+    # within groups
+    popular = links.groupBy("b").agg(F.count("*").alias("n"))
+    hub_of = links.join(popular, "b").groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    hub_of = materialize(hub_of, "hubs")
+    inside = verify(known, group_pairs(hub_of, sets, cells, stars))
+    discard(sets)
+    if inside.count():
+        edges = inside.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")))
+        stars = materialize(connected_components(edges).where("doc_id <> component_id"), "stars")
+
+    # all others
+    info = materialize(stars.join(hub_of.select(F.col("a").alias("doc_id"), F.col("b").alias("hub")), "doc_id", "full"), "info")
+    across = verify(known, index_pairs(known, cells, frequent, info))
+
+    edges = stars.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).unionByName(across.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    final = connected_components(edges.unionByName(copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
     return meta.select("doc_id", "n_shingles").join(final, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
