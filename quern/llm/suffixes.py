@@ -102,8 +102,9 @@ def _tie_order(at: np.ndarray, group: np.ndarray, rank: np.ndarray) -> np.ndarra
     return less
 
 
-def equal_windows(text: np.ndarray, at: np.ndarray, length: int) -> Iterator[np.ndarray]:
-    """Classes of the positions ``at`` (index arrays into it), by the ``length`` bytes from each."""
+def equal_windows(text: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each suffix bucket: index numbers of ``at`` in suffix order, and where in that order the
+    classes begin: positions with equal ``length`` bytes."""
     if not len(at):
         return
     words = _words(text, length + 4 * V)
@@ -137,13 +138,7 @@ def equal_windows(text: np.ndarray, at: np.ndarray, length: int) -> Iterator[np.
         for o in offsets:
             eq &= words[p[1:] + o] == words[p[:-1] + o]
         new[1:] = ~eq
-        yield from _split(ix, new)
-
-
-def _split(ix: np.ndarray, new: np.ndarray) -> Iterator[np.ndarray]:
-    starts = np.append(np.flatnonzero(new), len(ix))
-    for a in np.flatnonzero(np.diff(starts) > 1):
-        yield ix[starts[a] : starts[a + 1]]
+        yield ix, np.flatnonzero(new)
 
 
 # --- keys and fragments of one block --------------------------------------------------------
@@ -246,31 +241,46 @@ def pack_documents(docs: DataFrame) -> DataFrame:
 # --- over the cluster -----------------------------------------------------------------------
 
 
-def _lowest(frags: list[bytes], low: np.ndarray, length: int, keys: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """For distinct fragments: stretches (from window, to window, smallest doc_id that holds them)."""
-    counts = np.unique(keys, return_inverse=True, return_counts=True)
-    alone = counts[2][counts[1]] == 1  # no other fragment has its key, so none has its windows
-    out: list[list[tuple[int, int, int]]] = [[(0, len(f) - length + 1, int(d))] for f, d in zip(frags, low)]
-    rest = np.flatnonzero(~alone)
+def first_keys(text: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
+    """The keys of the windows that start at ``begin``."""
+    k = max(4, 2 * length // 5)
+    sums, key = prefix_sums(text), None
+    for i in range(length - k + 1):
+        h = range_hashes(sums, begin + i, begin + i + k) >> np.uint64(16)
+        key = h if key is None else np.minimum(key, h)
+    return key
+
+
+def _lowest(frags: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For distinct fragments, stretches of windows: fragment, from window, to window, smallest doc_id
+    that holds them; in order of the fragments."""
+    every = np.arange(len(frags))
+    sizes = np.array([len(f) for f in frags], np.int64)
+    whole = np.frombuffer(b"".join(frags), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    _, back, n = np.unique(first_keys(whole, begins, length), return_inverse=True, return_counts=True)
+    alone = n[back] == 1  # no other fragment has its key, so none has its windows
+    a = every[alone]
+    sure = (a, np.zeros(len(a), np.int64), sizes[a] - length + 1, low[a])
+    rest = every[~alone]
     if not len(rest):
-        return out
+        return sure
     text = np.frombuffer(b"".join(frags[i] for i in rest), np.uint8)
-    sizes = np.array([len(frags[i]) for i in rest])
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    wins = sizes - length + 1
+    begin = np.cumsum(sizes[rest]) - sizes[rest]
+    wins = sizes[rest] - length + 1
     owner = np.repeat(np.arange(len(rest)), wins)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(wins) - wins, wins)
     doc = low[rest][owner]
-    for cls in equal_windows(text, begin[owner] + nth, length):
-        doc[cls] = doc[cls].min()
+    for order, starts in equal_windows(text, begin[owner] + nth, length):
+        lowest = np.minimum.reduceat(doc[order], starts)
+        doc[order] = np.repeat(lowest, np.diff(np.append(starts, len(order))))
     edge = np.ones(len(owner), bool)
     edge[1:] = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(edge)
-    for i in rest:
-        out[i] = []
-    for a, b in zip(at.tolist(), np.append(at[1:], len(owner)).tolist()):
-        out[rest[owner[a]]].append((int(nth[a]), int(nth[a]) + b - a, int(doc[a])))
-    return out
+    some = (rest[owner[at]], nth[at], nth[at] + np.diff(np.append(at, len(owner))), doc[at])
+    both = [np.concatenate(x) for x in zip(sure, some)]
+    order = np.lexsort((both[1], both[0]))
+    return tuple(x[order] for x in both)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -316,6 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     keys = blocks.mapInPandas(send_keys, "bucket int, block long, keys binary")
     told = keys.groupBy("bucket").applyInPandas(find_repeated, "block long, keys binary")
     told = materialize(told.groupBy("block").agg(F.collect_list("keys").alias("keys")), "repeated")
+    del keys  # the shuffle files go with the last plan that refers to them
     free_shuffles(spark)
 
     def send_fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -330,32 +341,31 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def settle(b: pd.DataFrame) -> pd.DataFrame:
         known: dict[bytes, int] = {}
-        low: list[int] = []
-        numbers = []
+        numbers, lows = [], []
         for s, d, x in zip(b["sizes"], b["low"], b["bytes"]):
             ends = np.cumsum(unpack(s, np.int64)).tolist()
             raw, at, mine = unpack(x, np.uint8).tobytes(), 0, []
-            for e, doc in zip(ends, unpack(d, np.int64).tolist()):
-                i = known.setdefault(raw[at:e], len(known))
-                if i == len(low):
-                    low.append(doc)
-                elif doc < low[i]:
-                    low[i] = doc
-                mine.append(i)
+            for e in ends:
+                mine.append(known.setdefault(raw[at:e], len(known)))
                 at = e
-            numbers.append(mine)
-        frags = list(known)
-        keys = np.array([int(window_keys(np.frombuffer(f[:length], np.uint8), length)[0]) for f in frags], np.uint64)
-        found = _lowest(frags, np.array(low, np.int64), length, keys)
+            numbers.append(np.array(mine, np.int64))
+            lows.append(unpack(d, np.int64))
+        low = np.full(len(known), 2**63 - 1, np.int64)
+        for mine, d in zip(numbers, lows):
+            np.minimum.at(low, mine, d)
+        owner, start, end, doc = _lowest(list(known), low, length)
+        first, n = np.searchsorted(owner, np.arange(len(known))), np.bincount(owner, minlength=len(known))
         out = []
         for mine in numbers:
-            rows = [(j, a, e, d) for j, i in enumerate(mine) for a, e, d in found[i]]
-            out.append(pack(np.array(rows, np.int64)))
+            per = n[mine]
+            row = np.repeat(first[mine] - (np.cumsum(per) - per), per) + np.arange(per.sum())
+            out.append(pack(np.stack([np.repeat(np.arange(len(mine)), per), start[row], end[row], doc[row]])))
         return pd.DataFrame({"block": b["block"], "bucket": b["bucket"], "rows": out})
 
     frags = blocks.join(told, "block").mapInPandas(send_fragments, "bucket int, block long, sizes binary, low binary, bytes binary")
     settled = frags.groupBy("bucket").applyInPandas(settle, "block long, bucket int, rows binary")
     settled = materialize(settled.groupBy("block").agg(F.collect_list(F.struct("bucket", "rows")).alias("settled")), "settled")
+    del frags
     free_shuffles(spark)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -366,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 if r.settled is not None:
                     occurs = block.fragments(repeated_of(r.keys), buckets)
                     for s in r.settled:
-                        frag, a, e, d = unpack(s["rows"], np.int64).reshape(-1, 4).T
+                        frag, a, e, d = unpack(s["rows"], np.int64).reshape(4, -1)
                         run, number = occurs[s["bucket"]][2]
                         # all stretches of all occurrences
                         per = np.bincount(frag, minlength=number.max() + 1)
