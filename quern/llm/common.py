@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
+import io
+import time
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +48,16 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_quern_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp()) / "quern.zip"
-    with zipfile.ZipFile(at, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(at))  # the driver serves it; executors fetch it with their tasks
+    at = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(at)  # executors fetch it with their tasks
     sc._quern_shipped = True
 
 
@@ -62,10 +72,43 @@ def discard(df: DataFrame) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner remove the shuffle files of plans that are no longer referenced."""
-    import gc
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)  # the JVM objects are let go by a thread
+        spark.sparkContext._jvm.System.gc()
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def map_pandas(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas, but integers stay integers where some are null (as floats, large ids would lose digits)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}
+    fields = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in f(b.to_pandas(types_mapper=kinds.get) for b in batches):
+            yield pa.RecordBatch.from_pandas(out, fields, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
+def with_columns(df: DataFrame, f: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
+    """df with columns that Python works out from each Arrow batch; all others pass as they are.  A column of
+    df by the name of a new one gives way to it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = df.sparkSession.createDataFrame([], schema).schema
+    names = {x.lower() for x in added.names}
+    own = [x for x in df.columns if x.lower() not in names]
+    fields = to_arrow_schema(added)
+    result = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in [*(df.schema[c] for c in own), *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = f(b)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *(pa.array(new[x.name], x.type) for x in fields)], names=[*own, *added.names])
+
+    return df.mapInArrow(run, result)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

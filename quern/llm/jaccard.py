@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import discard, free_shuffles, materialize, table
+from quern.llm.common import discard, free_shuffles, map_pandas, materialize, table
 from quern.llm.components import connected_components
 from quern.llm.shingles import mix, shingle_set
 from quern.llm.suffixes import pack, unpack
@@ -66,9 +66,9 @@ def describe(docs: DataFrame) -> DataFrame:
             sets = [shingle_set(t, K) for t in b["text"]]
             digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
             keys = [np.array([mix(s ^ m).min() for m in salts], np.uint64).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "d1": [int(d[0]) for d in digests], "d2": [int(d[1]) for d in digests], "keys": keys})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "d1": [int(d[0]) for d in digests], "d2": [int(d[1]) for d in digests], "keys": keys})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
+    return map_pandas(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:

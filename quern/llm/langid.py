@@ -3,7 +3,7 @@
 A text's vector is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes of the
 lower-cased UTF-8 text, hashed to ``BUCKETS`` rows); a softmax layer turns it into language
 probabilities.  Both are trained together by stochastic gradient descent in numpy on at
-most ``PER_LANG`` labelled documents of each language (those of the smallest id hash), a
+most ``PER_LANG`` labelled documents of each language, ``MAX_DOCS`` in all (those of the smallest id hash), a
 fifth of which is kept out to calibrate: a temperature is fitted to it, and a score
 below which a prediction counts as rejected.  Since mean and layer are both linear,
 prediction adds rows of (embeddings @ layer), which is the same number for less work.
@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, table
+from quern.llm.common import crc_mod, map_pandas, table
 
 BUCKETS, DIM, NGRAMS, PIECE = 1 << 15, 16, (2, 3, 4), 1 << 19
-PER_LANG, MAX_LANGS = 600, 400
+PER_LANG, MAX_LANGS, MAX_DOCS = 600, 400, 4000
 UND = "und"
 PRECISION = 0.98  # what accepted predictions reach on the calibration part
 
@@ -131,6 +131,7 @@ def training_rows(docs: DataFrame, fold: int = 4, held: int = 2, per_lang: int =
     counts = {r["lang"]: r["count"] for r in seen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return []
+    per_lang = max(1, min(per_lang, MAX_DOCS // len(counts)))
     # a language's share by id hash, a little more than needed; then the exact bound
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, 1.3 * per_lang / n + 20 / n))])
     u = (F.xxhash64("doc_id") / F.lit(2.0**64)) + 0.5
@@ -154,7 +155,7 @@ def predict(docs: DataFrame, model: LangModel | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "rejected": [m is None or g[1] < m.least for g in got]})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
-    return docs.select("doc_id", "text", letters).mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_pandas(docs.select("doc_id", "text", letters), run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -26,17 +26,19 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import materialize, table
+from quern.llm.common import map_pandas, materialize, table, with_columns
 
 STRIP = b" \t\n\x0b\x0c\r"
 MAX_BITS = 1 << 26
 SEGMENT_BITS = 1 << 19
 BITS_PER_KEY = 10
 BROADCAST_BYTES = 16 << 20
+ROW, DROP = "__quern_row", "__quern_drop"
 
 
 def line_key(line: bytes) -> bytes:
@@ -161,7 +163,7 @@ def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
                         first[keys[i]] = min(first.get(keys[i], int(d)), int(d))
             yield pd.DataFrame({"key": list(count), "n": list(count.values()), "first": pd.array([first.get(k) for k in count], "Int64")})
 
-    found = texts.mapInPandas(suspects, "key binary, n long, first long")
+    found = map_pandas(texts, suspects, "key binary, n long, first long")
     return found.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first_doc")).where(F.col("n_docs") >= min_docs)
 
 
@@ -174,60 +176,54 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     spark = docs.sparkSession
     heavy = materialize(repeated_keys(docs, min_docs, min_chars), "lines")
     size = heavy.select(F.sum(F.octet_length("key") + 16)).first()[0] or 0
-    names = docs.columns
-    out = docs.select(*[f"`{c}`" for c in names]).schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.fields)
-    extra = "n_lines long, n_dropped long, kept_sha256 string"
+    extra = "text string, n_lines long, n_dropped long, kept_sha256 string"
 
     if size <= BROADCAST_BYTES:
         found = spark.sparkContext.broadcast({bytes(r["key"]): r["first_doc"] for r in heavy.collect()})
         src, drops = docs, None
     else:
         # another way: (row, position) of repeated lines by a join on the key, then back to the row
-        src = materialize(docs.withColumn("_row", F.expr("uuid()")), "lines-rows")
+        src = materialize(docs.withColumn(ROW, F.expr("uuid()")), "lines-rows")
 
         def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                at = [(r, d, i, k) for r, d, t in zip(b["_row"], b["doc_id"], b["text"]) for i, k in enumerate(split_keys(t)[1]) if k]
-                yield pd.DataFrame(at, columns=["_row", "doc_id", "at", "key"])
+                at = [(r, d, i, k) for r, d, t in zip(b[ROW], b["doc_id"], b["text"]) for i, k in enumerate(split_keys(t)[1]) if k]
+                yield pd.DataFrame(at, columns=[ROW, "doc_id", "at", "key"])
 
-        at = src.select("_row", "doc_id", "text").mapInPandas(positions, "_row string, doc_id long, at int, key binary").join(heavy, "key")
-        at = at.groupBy("_row", "key").agg(F.collect_list("at").alias("ats"), F.max(F.col("doc_id").eqNullSafe(F.col("first_doc"))).alias("is_first"))
+        at = map_pandas(src.select(ROW, "doc_id", "text"), positions, f"{ROW} string, doc_id long, at int, key binary").join(heavy, "key")
+        at = at.groupBy(ROW, "key").agg(F.collect_list("at").alias("ats"), F.max(F.col("doc_id").eqNullSafe(F.col("first_doc"))).alias("is_first"))
         if keep == "first":
             at = at.withColumn("ats", F.when(F.col("is_first"), F.array_except("ats", F.array(F.array_min("ats")))).otherwise(F.col("ats")))
-        drops = at.groupBy("_row").agg(F.flatten(F.collect_list("ats")).alias("_drop"))
-        src, found = src.join(drops, "_row", "left"), None
+        drops = at.groupBy(ROW).agg(F.flatten(F.collect_list("ats")).alias(DROP))
+        src, found = src.join(drops, ROW, "left"), None
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(b: pa.RecordBatch) -> dict[str, list]:
         known = found.value if found is not None else {}
-        for b in batches:
-            kept, lines_n, dropped, digest = [], [], [], []
-            for j, t in enumerate(b["text"]):
-                lines, keys = split_keys(t)
-                if found is not None:
-                    seen: set[bytes] = set()
-                    rest = []
-                    for line, k in zip(lines, keys):
-                        if k in known:
-                            d = b["doc_id"].iloc[j]
-                            if keep != "first" or k in seen or pd.isna(d) or known[k] != int(d):
-                                continue
-                            seen.add(k)
-                        rest.append(line)
-                else:
-                    d = b["_drop"].iloc[j]
-                    gone = set() if d is None else set(int(x) for x in d)
-                    rest = [x for i, x in enumerate(lines) if i not in gone]
-                s = b"\n".join(rest)
-                kept.append(s.decode("utf-8", "surrogatepass") if len(rest) < len(lines) else t)
-                lines_n.append(len(lines))
-                dropped.append(len(lines) - len(rest))
-                digest.append(hashlib.sha256(s).hexdigest())
-            r = b[names].copy()
-            r["text"] = kept
-            yield r.assign(n_lines=lines_n, n_dropped=dropped, kept_sha256=digest)
-
-    return src.mapInPandas(apply, f"{fields}, {extra}")
+        out: dict[str, list] = {"text": [], "n_lines": [], "n_dropped": [], "kept_sha256": []}
+        ids = b.column("doc_id").to_pylist()
+        drop = b.column(DROP).to_pylist() if found is None else None
+        for j, t in enumerate(b.column("text").to_pylist()):
+            ls, keys = split_keys(t)
+            if drop is None:
+                seen: set[bytes] = set()
+                rest = []
+                for line, k in zip(ls, keys):
+                    if k in known:
+                        if keep != "first" or k in seen or ids[j] is None or known[k] != ids[j]:
+                            continue
+                        seen.add(k)
+                    rest.append(line)
+            else:
+                gone = set(drop[j] or ())
+                rest = [x for i, x in enumerate(ls) if i not in gone]
+            s = b"\n".join(rest)
+            out["text"].append(s.decode("utf-8", "surrogatepass") if len(rest) < len(ls) else t)
+            out["n_lines"].append(len(ls))
+            out["n_dropped"].append(len(ls) - len(rest))
+            out["kept_sha256"].append(hashlib.sha256(s).hexdigest())
+        return out
+
+    return with_columns(src, apply, extra).drop(ROW, DROP)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

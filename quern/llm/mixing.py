@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import ASCII_SPACE, discard, materialize, table
 
-MARGINS = ("_source", "_lang", "_topic")
+MARGINS = ("__mix_source", "__mix_lang", "__mix_topic")
+ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_selected")
 MAX_CELLS, SWEEPS, CLOSE = 200_000, 200, 1e-9
 BUDGET, FLATTEN, CAP = 0.5, 0.5, 1e3
 NONE = "(none)"
@@ -45,9 +46,9 @@ def topic_of(text: Column, tokens: Column) -> Column:
 
 
 def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    d = docs.withColumn("_tokens", count_tokens(F.col("text")))
-    d = d.withColumn("_topic", F.coalesce(topic if topic is not None else topic_of(F.col("text"), F.col("_tokens")), F.lit(NONE)))
-    return d.withColumn("_source", F.coalesce("source", F.lit(NONE))).withColumn("_lang", F.coalesce("lang", F.lit(NONE)))
+    d = docs.withColumn("__mix_tokens", count_tokens(F.col("text")))
+    d = d.withColumn("__mix_topic", F.coalesce(topic if topic is not None else topic_of(F.col("text"), F.col("__mix_tokens")), F.lit(NONE)))
+    return d.withColumn("__mix_source", F.coalesce("source", F.lit(NONE))).withColumn("__mix_lang", F.coalesce("lang", F.lit(NONE)))
 
 
 def scale_for(kept_at, total: float) -> float:
@@ -80,7 +81,7 @@ def rake(cells: list[tuple], budget: float = BUDGET, flatten: float = FLATTEN, g
         at = {v: i for i, v in enumerate(values)}
         ix = np.array([at[c[m]] for c in cells], int)
         total = np.bincount(ix, tokens, len(values))
-        t = targets_of(dict(zip(values, total)), budget, flatten, (given or {}).get(MARGINS[m][1:]))
+        t = targets_of(dict(zip(values, total)), budget, flatten, (given or {}).get(MARGINS[m][6:]))
         index.append(ix)
         want.append(np.array([t[v] for v in values]))
     for _ in range(SWEEPS):
@@ -99,7 +100,7 @@ def rake_tables(cells: DataFrame, budget: float = BUDGET, flatten: float = FLATT
     want = {}
     for m in MARGINS:
         t = cells.groupBy(m).agg(F.sum("tokens").alias("t"))
-        g = (given or {}).get(m[1:])
+        g = (given or {}).get(m[6:])
         share = F.pow(F.col("t").cast("double"), F.lit(flatten)) if g is None else F.coalesce(F.create_map(*[F.lit(x) for kv in g.items() for x in kv])[F.col(m)], F.lit(0.0))
         t = t.withColumn("share", F.when(F.col("t") > 0, share).otherwise(0.0))
         t = materialize(t, "margin")
@@ -120,19 +121,20 @@ def mix(docs: DataFrame, budget: float = BUDGET, flatten: float = FLATTEN, given
     """docs with mix_topic, mix_tokens, mix_weight, mix_probability and mix_selected added."""
     spark = docs.sparkSession
     d = with_cells(docs, topic)
-    cells = materialize(d.groupBy(*MARGINS).agg(F.sum("_tokens").alias("tokens")), "cells")
+    cells = materialize(d.groupBy(*MARGINS).agg(F.sum("__mix_tokens").alias("tokens")), "cells")
     if cells.count() <= max_cells:
         rows = sorted(tuple(r) for r in cells.collect())
         w = rake(rows, budget, flatten, given)
-        weights = spark.createDataFrame([(*r[:3], float(x)) for r, x in zip(rows, w)], "_source string, _lang string, _topic string, weight double")
+        weights = spark.createDataFrame([(*r[:3], float(x)) for r, x in zip(rows, w)], "__mix_source string, __mix_lang string, __mix_topic string, __mix_weight double")
         weights = F.broadcast(weights)  # max_cells rows at most
     else:
-        weights = rake_tables(cells, budget, flatten, given).drop("tokens")
+        weights = rake_tables(cells, budget, flatten, given).drop("tokens").withColumnRenamed("weight", "__mix_weight")
     u = (F.xxhash64("doc_id", "text") / F.lit(2.0**64)) + 0.5
-    out = d.join(weights, list(MARGINS), "left").withColumn("mix_probability", F.least(F.lit(1.0), "weight"))
+    out = d.join(weights, list(MARGINS), "left").withColumn("__mix_p", F.least(F.lit(1.0), "__mix_weight"))
     return out.select(
-        *[out[c] for c in docs.columns], F.col("_topic").alias("mix_topic"), F.col("_tokens").alias("mix_tokens"), F.col("weight").alias("mix_weight"), "mix_probability", (u < F.col("mix_probability")).alias("mix_selected")
-    )
+        *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED], F.col("__mix_topic").alias("mix_topic"), F.col("__mix_tokens").alias("mix_tokens"), F.col("__mix_weight").alias("mix_weight"),
+        F.col("__mix_p").alias("mix_probability"), (u < F.col("__mix_p")).alias("mix_selected"),
+    )
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import map_pandas, table
 
 TRAIN_DOCS = 3000
 KINDS = ["assign", "access", "hex", "crf"]
@@ -265,7 +265,7 @@ def find_secrets(docs: DataFrame, model: Crf | None) -> DataFrame:
             found = [[(KINDS[k], s, e) for s, k, e in all_spans(t or "", m)] for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "spans": found})
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    return map_pandas(docs.select("doc_id", "text"), scan, "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
 
 
 def op10_secret_scan(spark, sf_dir: str) -> DataFrame:

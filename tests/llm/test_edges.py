@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm import chat, decontaminate, jaccard, langid, lines, mixing, secrets, suffixes, syncmers, toxicity
 from quern.llm.shingles import shingle_set
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, key string, score double, row string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, key string, score double, row string, N_Lines string, weight double, mix_topic string, Toxicity_Score int, tokens int, u array<int>"
 rng = random.Random(5)
 VOCAB = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
 
@@ -38,8 +38,8 @@ def odd_rows():
     texts = [None, "", " \n\t ", "one", "two words", BASE, BASE, BASE + "\n" + prose(60, 3), LONG, LONG + " tail", "é" * 200, "a" * 500, "same line\nsame line\n\nÄ Same  ", "\n".join(["common"] * 3)]
     texts += [f"common\nline {i}\n  COMMON\t" for i in range(12)]
     texts += [edited(BASE, i % 7, i) for i in range(40)]
-    rows = [(i, t, ["en", None, "de"][i % 3], ["a", "b", None][i % 3], None, 7, "k", 0.5, "r") for i, t in enumerate(texts)]
-    return rows + [rows[5], (None, BASE, None, None, None, None, None, None, None), (3, "other text of id three", "en", "a", 1, 1, "", 0.0, "")]
+    rows = [(i, t, ["en", None, "de"][i % 3], ["a", "b", None][i % 3], None, 7, "k", 0.5, "r", "z", 2.5, "w", 9, 8, [1, None]) for i, t in enumerate(texts)]
+    return rows + [rows[5], (None, BASE) + (None,) * 13, (3, "other text of id three", "en", "a", 1, 1, "", 0.0, "", "", 0.0, "", 1, 1, [])] + [(2**62 + 1, "a text of a large id", *[None] * 13)]
 
 
 @pytest.fixture(scope="module")
@@ -128,7 +128,7 @@ def test_decontamination(spark, odd, empty):
     items = [(1, prose(15, 50)), (2, prose(59, 51)), (3, "three word item"), (4, None), (5, ""), (6, prose(15, 50)), (7, "rep rep rep rep rep rep rep rep rep rep"), (8, prose(33, 52).upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = [(100, prose(40, 60) + " " + items[0][1] + " " + prose(40, 61)), (101, items[1][1]), (102, prose(9, 62) + " " + edited(items[1][1], 1, 9) + " end"), (103, "Three  WORD\nitem"), (104, "x " + items[6][1] + " rep rep y"), (105, " ".join(items[1][1].split()[:54])), (106, prose(300, 63)), (107, None), (108, "a " + prose(33, 52)), (None, items[0][1])]
-    extra = spark.createDataFrame([(d, t, None, None, None, None, None, None, None) for d, t in docs], SCHEMA)
+    extra = spark.createDataFrame([(d, t, *[None] * 13) for d, t in docs], SCHEMA)
     got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["first_word"], r["similarity"]) for r in decontaminate.contaminated(odd.unionByName(extra), bench).collect()}
     want = brute_leaks([(r[0], r[1]) for r in odd_rows() if r[1] is not LONG and r[1] != LONG + " tail"] + docs, items)
     assert got == want and (100, 1) in got and (102, 2) in got and (105, 2) in got and (103, 3) in got
@@ -357,5 +357,28 @@ def test_mixing(spark, odd, empty):
     w = {r["doc_id"]: r["mix_probability"] for r in out.collect()}
     assert all(p == pytest.approx(w[i], rel=1e-3) for i, p in tables)
     got = mixing.mix(odd)
-    assert got.count() == len(odd_rows()) and got.where("mix_probability IS NULL OR mix_selected IS NULL").count() == 0 and set(odd.columns) < set(got.columns)
+    assert got.count() == len(odd_rows()) and got.where("mix_probability IS NULL OR mix_selected IS NULL").count() == 0 and set(odd.columns) <= set(got.columns)
     assert mixing.mix(empty).collect() == []
+
+
+def test_fragments_sorted_in_several_parts(monkeypatch):
+    g = np.random.default_rng(3)
+    base = g.integers(97, 123, 4000).astype(np.uint8).tobytes()
+    frags = sorted({base[a : a + n] for a, n in zip(g.integers(0, 3900, 400).tolist(), g.integers(50, 90, 400).tolist()) if a + n <= 4000})
+    low = g.integers(0, 1000, len(frags))
+    # windows of one key meet; of others they cannot, as equal windows have equal keys
+    frags = [f for f in frags if len(f) >= 50]
+    low = low[: len(frags)]
+    keys = [suffixes.window_keys(np.frombuffer(f, np.uint8), 50) for f in frags]
+    one = [i for i, k in enumerate(keys) if (k == k[0]).all()]
+    frags, low = [frags[i] for i in one], low[one]
+    want = suffixes._lowest(frags, low, 50)
+    first = {}
+    for f, d in zip(frags, low.tolist()):
+        for p in range(len(f) - 49):
+            first[f[p : p + 50]] = min(first.get(f[p : p + 50], d), d)
+    for i, a, b, d in zip(*want):
+        assert all(first[frags[i][p : p + 50]] == d for p in range(a, b))
+    for size in (1, 200, 1000):
+        monkeypatch.setattr(suffixes, "SORT_BYTES", size)
+        assert all((x == y).all() for x, y in zip(want, suffixes._lowest(frags, low, 50)))
