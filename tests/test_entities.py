@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import dataclasses
-from typing import Optional
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,29 +8,11 @@ from pyspark.sql import types as T
 
 from quern.functions.documents import document_size, to_json
 from quern.operators.versions import VersionedEntities
-from quern.plans.schema import SchemaError, build, key, key_of
+from quern.plans.schema import SchemaError, build, key_of
 from quern.plans.transaction import TransactionNotFound, TransactionOrder
 from quern.sources.database import Database, EntityNotFound, folder_of
 from quern.streaming.stream import copy_stream
-
-
-@dataclasses.dataclass
-class Tag:
-    Name: str
-
-
-@dataclasses.dataclass
-class Passport:
-    Code: str
-
-
-@dataclasses.dataclass
-class Person:
-    Id: int = key()
-    Name: str = ""
-    Age: int = 0
-    Passport: Optional[Passport] = None
-    Tags: Optional[list[Tag]] = None
+from tests_support import Passport, Person, Tag
 
 
 PEOPLE = [
