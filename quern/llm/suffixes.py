@@ -38,10 +38,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_shuffles, materialize, table
+from quern.llm.common import free_shuffles, map_pandas, materialize, table
 from quern.llm.shingles import prefix_sums, range_hashes
 
-BLOCK, BUCKET_BYTES = 2 << 20, 16 << 20
+BLOCK, BUCKET_BYTES, SORT_BYTES = 2 << 20, 8 << 20, 2 << 20
 V, COVER = 13, (0, 1, 3, 9)
 SORT_AT_ONCE = 1 << 20
 NO_ID = -(2**63)  # stands for a null doc_id inside blocks
@@ -235,7 +235,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
         if ids:
             yield block()
 
-    return docs.select("doc_id", "text").mapInPandas(run, "block long, n_bytes long, ids binary, lens binary, data binary")
+    return map_pandas(docs.select("doc_id", "text"), run, "block long, n_bytes long, ids binary, lens binary, data binary")
 
 
 # --- over the cluster -----------------------------------------------------------------------
@@ -262,25 +262,39 @@ def _lowest(frags: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarra
     alone = n[back] == 1  # no other fragment has its key, so none has its windows
     a = every[alone]
     sure = (a, np.zeros(len(a), np.int64), sizes[a] - length + 1, low[a])
+    parts = [sure]
     rest = every[~alone]
-    if not len(rest):
-        return sure
-    text = np.frombuffer(b"".join(frags[i] for i in rest), np.uint8)
-    begin = np.cumsum(sizes[rest]) - sizes[rest]
-    wins = sizes[rest] - length + 1
-    owner = np.repeat(np.arange(len(rest)), wins)
+    rest = rest[np.argsort(back[rest], kind="stable")]  # fragments of one key side by side: only they can share windows
+    ends, new_key = np.cumsum(sizes[rest]), np.flatnonzero(np.diff(back[rest])) + 1
+    lo = 0
+    while lo < len(rest):
+        # as many keys as make up SORT_BYTES, one at least
+        limit = np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SORT_BYTES)
+        i = np.searchsorted(new_key, max(limit, lo + 1), side="right") - 1
+        hi = int(new_key[i]) if i >= 0 and new_key[i] > lo else int(new_key[i + 1]) if i + 1 < len(new_key) else len(rest)
+        hi = len(rest) if limit >= len(rest) else hi
+        parts.append(_settle(frags, rest[lo:hi], sizes, low, length))
+        lo = hi
+    both = [np.concatenate(x) for x in zip(*parts)]
+    order = np.lexsort((both[1], both[0]))
+    return tuple(x[order] for x in both)
+
+
+def _settle(frags: list[bytes], some: np.ndarray, sizes: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The same for fragments ``some``, by suffix sorting."""
+    text = np.frombuffer(b"".join(frags[i] for i in some), np.uint8)
+    begin = np.cumsum(sizes[some]) - sizes[some]
+    wins = sizes[some] - length + 1
+    owner = np.repeat(np.arange(len(some), dtype=np.int32), wins)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(wins) - wins, wins)
-    doc = low[rest][owner]
+    doc = low[some][owner]
     for order, starts in equal_windows(text, begin[owner] + nth, length):
         lowest = np.minimum.reduceat(doc[order], starts)
         doc[order] = np.repeat(lowest, np.diff(np.append(starts, len(order))))
     edge = np.ones(len(owner), bool)
     edge[1:] = (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(edge)
-    some = (rest[owner[at]], nth[at], nth[at] + np.diff(np.append(at, len(owner))), doc[at])
-    both = [np.concatenate(x) for x in zip(sure, some)]
-    order = np.lexsort((both[1], both[0]))
-    return tuple(x[order] for x in both)
+    return some[owner[at]], nth[at], nth[at] + np.diff(np.append(at, len(owner))), doc[at]
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -397,7 +411,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array([o[0] for o in out], "Int64"), "n_bytes": [o[1] for o in out], "kept": [o[2] for o in out], "spans": [o[3] for o in out]})
 
     done = blocks.join(told, "block", "left").join(settled, "block", "left")
-    return done.mapInPandas(finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
+    return map_pandas(done, finish, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
