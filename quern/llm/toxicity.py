@@ -20,18 +20,17 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc_mod, table
+from quern.llm.common import crc_mod, table, with_columns
 
-MAX_POS, MAX_NEG, MAX_FEATURES = 1500, 3000, 1500
-RIDGE, STEPS, ALONE = 3e-5, 1200, 0.04
+MAX_POS, MAX_NEG, MAX_FEATURES = 1000, 2000, 1000
+RIDGE, STEPS, ALONE, LEAST = 3e-5, 1200, 0.04, 5
 WORD = re.compile(r"[^\W\d_]+")
 #: What each sign imitates.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -130,6 +129,27 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
+def document_counts(rows: list[tuple[str, int]]) -> list[Counter[str]]:
+    """By label: in how many texts the features stand that LEAST texts of label 1 have.  One text's features
+    are held at a time; a table of hashed counts first tells which features can be worth a name."""
+    rough = np.zeros(1 << 21, np.int32)
+    slots = lambda f: np.fromiter((hash(x) & (len(rough) - 1) for x in f), np.int64, len(f))
+    for t, y in rows:
+        if y:
+            np.add.at(rough, slots(features(words_of(t, None))), 1)
+    df: list[Counter[str]] = [Counter(), Counter()]
+    for label in (1, 0):
+        for t, y in rows:
+            if y == label:
+                f = list(features(words_of(t, None)))
+                for i in np.flatnonzero(rough[slots(f)] >= LEAST):
+                    if label or f[i] in df[1]:
+                        df[label][f[i]] += 1
+        if label:
+            df[1] = Counter({x: n for x, n in df[1].items() if n >= LEAST})
+    return df
+
+
 @dataclass
 class ToxicModel:
     bias: float
@@ -161,15 +181,12 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> ToxicModel
     rows = sorted(set(rows))  # copies are one example
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
-    plain = [features(words_of(t, None)) for t, _ in rows]
-    df = [Counter(), Counter()]
-    for f, (_, y) in zip(plain, rows):
-        df[y].update(f)
+    df = document_counts(rows)
 
     def strength(x: str) -> float:
         """Log-likelihood ratio of the feature, if it speaks for label 1 clearly."""
         a, b = df[1][x], df[0][x]
-        if a < 3 or a / n1 < 6 * (b + 0.5) / n0:
+        if a < LEAST or a / n1 < 6 * (b + 0.5) / n0:
             return 0.0
         p = (a + b) / (n1 + n0)
         return 2 * (a * np.log(a / n1 / p) + (b * np.log(b / n0 / p) if b else 0.0))
@@ -247,14 +264,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 5) -> tuple[li
 def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """docs, whatever its columns, with toxicity_score and toxicity_predicted added."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.array([known.value.score(t) for t in b["text"]], float)
-            yield b.assign(toxicity_score=s, toxicity_predicted=(s >= 0.5).astype(np.int32))
+    def run(b: pa.RecordBatch) -> dict[str, list]:
+        s = [known.value.score(t) for t in b.column("text").to_pylist()]
+        return {"toxicity_score": s, "toxicity_predicted": [int(x >= 0.5) for x in s]}
 
-    return docs.mapInPandas(run, f"{fields}, toxicity_score double, toxicity_predicted int")
+    return with_columns(docs, run, "toxicity_score double, toxicity_predicted int")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
