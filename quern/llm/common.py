@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 #: ASCII whitespace as the operators' contracts define it.
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,8 +47,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each context: their Python path may not have it."""
+    """Give the executors this package, once for each context: their Python path may not have it.  And make
+    Arrow batches smaller than Spark's default, so that Python workers hold fewer texts at a time."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(sc, "_quern_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
