@@ -17,14 +17,17 @@ def connected_components(links: DataFrame) -> DataFrame:
     seen = print_of(edges)
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # (minima are written first: a join with a table can be split where a vertex is hot)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(low, "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.where("u <> v").distinct(), "large")
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         new = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         now = print_of(new)
-        discard(edges)
+        for t in (edges, low, large, down):
+            discard(t)
         edges = new
         if now == seen:
             break

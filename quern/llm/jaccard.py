@@ -48,7 +48,7 @@ from quern.llm.suffixes import pack, unpack
 
 K, SIMILAR = 5, 80  # words in a shingle; per cent
 N_KEYS, HUB, CELLS, CELL_SEGMENTS = 8, 40, 1 << 22, 64
-BLOCK_ENTRIES, BUCKET_ENTRIES = 200_000, 2_000_000
+BLOCK_ENTRIES, BUCKET_ENTRIES, NAMED = 200_000, 2_000_000, 64
 BROADCAST_ROWS = 1_000_000  # ids: 8 MB
 
 
@@ -193,18 +193,20 @@ def group_pairs(stars: DataFrame, sets: DataFrame, cells, components: DataFrame)
                 linked, entries = differences(x, y, cells.value)
                 n_d = len(x) + len(y) - 2 * (len(x) + len(y) - len(np.unique(np.concatenate([x, y]))))
                 for kind, e in enumerate(entries):
-                    out.append(pd.DataFrame({"hub": h, "kind": kind, "token": e.view(np.int64), "at": np.arange(len(e)), "a": a, "n": len(x), "nd": n_d, "linked": linked}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["hub", "kind", "token", "at", "a", "n", "nd", "linked"])
+                    out.append(pd.DataFrame({"hub": h, "kind": kind, "token": e.view(np.int64), "earlier": [e[:i].view(np.int64) for i in range(len(e))] if len(e) <= NAMED else [None] * len(e), "at": np.arange(len(e)), "a": a, "n": len(x), "nd": n_d, "nb": (n_d + len(x) - len(y)) // 2, "linked": linked}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=["hub", "kind", "token", "earlier", "at", "a", "n", "nd", "nb", "linked"])
 
-    e = with_sets(stars, sets).mapInPandas(run, "hub long, kind int, token long, at int, a long, n long, nd long, linked boolean")
+    e = with_sets(stars, sets).mapInPandas(run, "hub long, kind int, token long, earlier array<long>, at int, a long, n long, nd long, nb long, linked boolean")
     e = materialize(e.join(components.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("c", F.coalesce("component_id", "a")).drop("component_id"), "differences")
     # entries that meet another component; counted before they are dealt out
     meets = e.groupBy("hub", "kind", "token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub", "kind", "token")
     e = materialize(e.join(meets, ["hub", "kind", "token"]), "meeting")
-    x, y = (e.select("hub", "kind", "token", *[F.col(c).alias(f"{p}_{c}") for c in ("at", "a", "n", "nd", "linked", "c")]) for p in ("x", "y"))
-    # enough shared differences can still follow the first shared one
-    rest = "1 + least(x_nd - x_at - 1, y_nd - y_at - 1)"
+    x, y = (e.select("hub", "kind", "token", *[F.col(c).alias(f"{p}_{c}") for c in ("earlier", "at", "a", "n", "nd", "nb", "linked", "c")]) for p in ("x", "y"))
+    # enough shared differences can still follow the first shared one: own tokens (nb of them) come before the hub's
+    rest = "CASE WHEN x_at < x_nb THEN least(x_nb - x_at, y_nb - y_at) + least(x_nd - x_nb, y_nd - y_nb) ELSE least(x_nd - x_at, y_nd - y_at) END"
     may = f"x_c <> y_c AND NOT x_linked AND (kind = 0 AND x_a < y_a OR kind = 1 AND y_linked) AND 18 * ({rest}) >= 9 * (x_nd + y_nd) - x_n - y_n"
+    # a pair comes up once, at its first shared entry (entries of long prefixes don't name the earlier ones: distinct() is left to do it)
+    may += " AND coalesce(NOT arrays_overlap(x_earlier, y_earlier), true)"
     return x.join(y, ["hub", "kind", "token"]).where(may).select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
 
 
@@ -324,6 +326,7 @@ def component_ids(docs: DataFrame) -> DataFrame:
     meta = materialize(describe(docs), "meta")
     real = meta.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    classes = materialize(classes, "classes")  # a join with a table, not with its aggregate, can be split where a key is hot
     copies = materialize(real.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "rep"), "copies")
     not_first = materialize(copies.select("doc_id").distinct(), "copy-ids")
     firsts = real.join(not_first, "doc_id", "left_anti")
@@ -332,6 +335,7 @@ def component_ids(docs: DataFrame) -> DataFrame:
     # stars around the smallest id of each min-hash
     keys = materialize(firsts.select("doc_id", "n_shingles", F.posexplode("keys").alias("i", "key")), "keys")
     hubs = keys.groupBy("i", "key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.count("*").alias("n")).where("n > 1").select("i", "key", "hub")
+    hubs = materialize(hubs, "hubs")
     near = keys.join(hubs, ["i", "key"]).where(f"hub.doc_id <> doc_id AND least(hub.n_shingles, n_shingles) * 100 >= {HUB} * greatest(hub.n_shingles, n_shingles)")
     near = materialize(near.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b")).distinct(), "near")
     sets = sets_of(known, near)
@@ -347,7 +351,7 @@ def component_ids(docs: DataFrame) -> DataFrame:
     frequent = 4 * float(counts.mean()) + 64
 
     # within groups
-    popular = links.groupBy("b").agg(F.count("*").alias("n"))
+    popular = materialize(links.groupBy("b").agg(F.count("*").alias("n")), "popular")
     hub_of = links.join(popular, "b").groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
     hub_of = materialize(hub_of, "hubs")
     inside = verify(known, group_pairs(hub_of, sets, cells, stars))
