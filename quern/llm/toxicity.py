@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, table, with_columns
 
 MAX_POS, MAX_NEG, MAX_FEATURES = 1000, 2000, 1000
-RIDGE, STEPS, ALONE, LEAST = 3e-5, 1200, 0.04, 5
+RIDGE, STEPS, ALONE = 3e-5, 1200, 0.04
 WORD = re.compile(r"[^\W\d_]+")
 #: What each sign imitates.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -129,8 +129,8 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
-def document_counts(rows: list[tuple[str, int]]) -> list[Counter[str]]:
-    """By label: in how many texts the features stand that LEAST texts of label 1 have.  One text's features
+def document_counts(rows: list[tuple[str, int]], least: int) -> list[Counter[str]]:
+    """By label: in how many texts the features stand that ``least`` texts of label 1 have.  One text's features
     are held at a time; a table of hashed counts first tells which features can be worth a name."""
     rough = np.zeros(1 << 21, np.int32)
     slots = lambda f: np.fromiter((hash(x) & (len(rough) - 1) for x in f), np.int64, len(f))
@@ -142,11 +142,11 @@ def document_counts(rows: list[tuple[str, int]]) -> list[Counter[str]]:
         for t, y in rows:
             if y == label:
                 f = list(features(words_of(t, None)))
-                for i in np.flatnonzero(rough[slots(f)] >= LEAST):
+                for i in np.flatnonzero(rough[slots(f)] >= least):
                     if label or f[i] in df[1]:
                         df[label][f[i]] += 1
         if label:
-            df[1] = Counter({x: n for x, n in df[1].items() if n >= LEAST})
+            df[1] = Counter({x: n for x, n in df[1].items() if n >= least})
     return df
 
 
@@ -181,12 +181,13 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> ToxicModel
     rows = sorted(set(rows))  # copies are one example
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
-    df = document_counts(rows)
+    least = max(3, n1 // 200)
+    df = document_counts(rows, least)
 
     def strength(x: str) -> float:
         """Log-likelihood ratio of the feature, if it speaks for label 1 clearly."""
         a, b = df[1][x], df[0][x]
-        if a < LEAST or a / n1 < 6 * (b + 0.5) / n0:
+        if a < least or a / n1 < 6 * (b + 0.5) / n0:
             return 0.0
         p = (a + b) / (n1 + n0)
         return 2 * (a * np.log(a / n1 / p) + (b * np.log(b / n0 / p) if b else 0.0))
