@@ -18,13 +18,13 @@ from quern.llm.decontaminate import contaminated
 from quern.llm.jaccard import by_id, component_ids
 from quern.llm.lines import drop_repeated_lines
 from quern.llm.mixing import mix
-from quern.llm.toxicity import score_documents, train, training_rows
+from quern.llm.toxicity import letter_counts, score_documents, train, training_rows
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects (0.5 or more) go."""
     ship(spark)
-    model = train(*training_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(*training_rows(docs, table(spark, sf_dir, "labels")), letter_counts(docs))
     return score_documents(docs, model).where("toxicity_predicted = 0").select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -3,11 +3,11 @@
 Obfuscated stretches (leetspeak, letters set apart, repeated letters) become a character
 lattice: every observed character may stand for itself, for the letters it imitates, or for
 nothing (a separator, or a repeat of the letter before), each at a cost.  Viterbi decodes
-the lattice under a character trigram model.  A stretch whose lattice has only one path
+the lattice under a character trigram model, counted over the words of all documents.  A stretch whose lattice has only one path
 is its own decoding, so plain words need no search.  The restored words join the text's own.
 
 The score is a logistic regression on the text's words and word beginnings (4 to 7 letters).
-Everything is learned from at most ``MAX_POS`` + ``MAX_NEG`` labelled rows (those of the
+Its weights are learned from at most ``MAX_POS`` + ``MAX_NEG`` labelled rows (those of the
 smallest id hash); the intercept is then set back to the true share of positives.
 
 Defined cases: null or empty text has no words and gets the intercept's score; null
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import crc_mod, table, with_columns
 
 MAX_POS, MAX_NEG, MAX_FEATURES = 1000, 2000, 1000
+WORDS_HELD = 100_000  # distinct words that a task holds before it turns them into trigrams
 RIDGE, STEPS, ALONE = 3e-5, 1200, 0.04
 WORD = re.compile(r"[^\W\d_]+")
 #: What each sign imitates.
@@ -43,25 +45,55 @@ LONGEST = 40  # characters of a stretch; longer ones are keys or data, not words
 COST = {"same": 0.0, "leet": 1.0, "drop_sep": 0.5, "drop_repeat": 1.0, "keep_sign": 6.0}
 
 
+def folded(w: str) -> str:
+    """The word in an alphabet of bounded size: letters from U+0600 on share one sign with those of the same
+    place in a row of 128, so that the letters of most scripts stay apart and ideographs are spread evenly."""
+    return w if w.isascii() else "".join(c if c < "\u0600" else chr(0x600 + ord(c) % 128) for c in w)
+
+
+def add_trigrams(to: Counter[str], words: Counter[str]) -> None:
+    for w, n in words.items():
+        s = "  " + folded(w) + " "
+        for i in range(2, len(s)):
+            to[s[i - 2 : i + 1]] += n
+
+
+def letter_counts(docs: DataFrame) -> Counter[str]:
+    """Trigrams of the words of all texts, edges as spaces; tasks count their own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, grams = Counter(), Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                words.update(WORD.findall((t or "").lower()))
+                if len(words) > WORDS_HELD:
+                    add_trigrams(grams, words)
+                    words.clear()
+        add_trigrams(grams, words)
+        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    return Counter({r["gram"]: r["n"] for r in rows})
+
+
 class CharModel:
     """Trigram model with additive smoothing and backing off by interpolation."""
 
-    def __init__(self, words: Counter[str]):
-        self.c3, self.c2, self.n2, self.n1 = Counter(), Counter(), Counter(), Counter()
-        for w, n in words.items():
-            s = "  " + w + " "
-            for i in range(2, len(s)):
-                self.c3[s[i - 2 : i + 1]] += n
-                self.n2[s[i - 2 : i]] += n
-                self.c2[s[i - 1 : i + 1]] += n
-                self.n1[s[i - 1]] += n
+    def __init__(self, words: Counter[str], grams: Counter[str] | None = None):
+        self.c3, self.c2, self.n2, self.n1 = Counter(grams or {}), Counter(), Counter(), Counter()
+        add_trigrams(self.c3, words)
+        for k, n in self.c3.items():
+            self.n2[k[:2]] += n
+            self.c2[k[1:]] += n
+            self.n1[k[1]] += n
         self.memo: dict[str, float] = {}
 
     def cost(self, two: str, c: str) -> float:
         k = two + c
         if k not in self.memo:
-            p2 = (self.c2[k[1:]] + 0.05) / (self.n1[k[1]] + 0.05 * 60)
-            self.memo[k] = -float(np.log((self.c3[k] + 3 * p2) / (self.n2[two] + 3)))
+            f = folded(k)
+            p2 = (self.c2[f[1:]] + 0.05) / (self.n1[f[1]] + 0.05 * 60)
+            self.memo[k] = -float(np.log((self.c3[f] + 3 * p2) / (self.n2[f[:2]] + 3)))
         return self.memo[k]
 
 
@@ -171,8 +203,9 @@ class ToxicModel:
         self._starts = {k: {x for x in self.weights if x[0] != "=" and len(x) == k} for k in (4, 5, 6, 7)}
 
 
-def train(rows: list[tuple[str, int]], share: float | None = None) -> ToxicModel:
-    """rows: (text, label); share: the true share of label 1, if rows were stratified."""
+def train(rows: list[tuple[str, int]], share: float | None = None, letters: Counter[str] | None = None) -> ToxicModel:
+    """rows: (text, label); share: the true share of label 1, if rows were stratified; letters: the corpus'
+    trigrams (those of the rows, if not given)."""
     n1 = sum(y for _, y in rows)
     n0 = len(rows) - n1
     if not n1 or not n0:
@@ -202,14 +235,13 @@ def train(rows: list[tuple[str, int]], share: float | None = None) -> ToxicModel
     names = [x for _, x in picked if x[0] == "=" or longer[x] < 0.95 * df[1][x]]
     at = {x: i for i, x in enumerate(names)}
     # obfuscated words are mostly insults: their model is the corpus' words with the learned ones weighed up
-    every: Counter[str] = Counter()
-    for t, _ in rows[:: max(1, len(rows) // 600)]:
-        every.update(WORD.findall(t.lower()))
-    total = sum(every.values())
+    grams = Counter(letters or {})
+    if letters is None:
+        for t, _ in rows:
+            add_trigrams(grams, Counter(WORD.findall(t.lower())))
+    total = sum(n for k, n in grams.items() if k.startswith("  "))
     insults = [x[1:] for x in names if x[0] == "="]
-    for w in insults:
-        every[w] += max(1, total // max(1, len(insults)))
-    chars = CharModel(every)
+    chars = CharModel(Counter({w: max(1, total // len(insults)) for w in insults}), grams)
     x = np.zeros((len(rows), len(names)))
     for i, (t, _) in enumerate(rows):
         for f in features(words_of(t, chars)):
@@ -275,7 +307,7 @@ def score_documents(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(*training_rows(docs, table(spark, sf_dir, "labels")))
+    model = train(*training_rows(docs, table(spark, sf_dir, "labels")), letter_counts(docs))
     return score_documents(docs, model).select(
         "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), F.col("toxicity_score").alias("score"), F.col("toxicity_predicted").alias("predicted")
     )

@@ -264,6 +264,23 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.training_rows(odd, y)[0] in ([("", 1)], [])
 
 
+def test_letters_are_counted_over_all_texts(spark, monkeypatch):
+    from collections import Counter
+
+    texts = [None, "", "Été schön", "漢字 字漢", *[f"{prose(9, i)} {'xyzzy' * (i == 1999)}" for i in range(2000)]]
+    want = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            s = "  " + toxicity.folded(w) + " "
+            want.update(s[i : i + 3] for i in range(len(s) - 2))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert toxicity.letter_counts(docs) == want and want["xyz"] == 1
+    monkeypatch.setattr(toxicity, "WORDS_HELD", 5)
+    assert toxicity.letter_counts(docs) == want and toxicity.letter_counts(docs.limit(0)) == {}
+    rows = [(t or "", i % 2) for i, t in enumerate(texts)]
+    assert toxicity.train(rows).chars.c3["xyz"] == 1 and toxicity.train(rows[:1000], None, want).chars.c3["xyz"] == 1
+
+
 def test_secrets(spark, odd, empty):
     r = random.Random(3)
     tok = lambda n, a="0123456789abcdef": "".join(r.choice(a) for _ in range(n))
