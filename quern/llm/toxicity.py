@@ -2,7 +2,8 @@
 
 Obfuscated stretches (leetspeak, letters set apart, repeated letters) become a character
 lattice: every observed character may stand for itself, for the letters it imitates, or for
-nothing (a separator, or a repeat of the letter before), each at a cost.  Viterbi decodes
+nothing (a separator, or a repeat of the letter before), and signs between letters may end a
+word, each at a cost.  Stretches have any length: a lattice takes time in proportion to it.  Viterbi decodes
 the lattice under a character trigram model, counted over the words of all documents.  A stretch whose lattice has only one path
 is its own decoding, so plain words need no search.  The restored words join the text's own.
 
@@ -37,12 +38,12 @@ WORD = re.compile(r"[^\W\d_]+")
 #: What each sign imitates.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SEPARATORS = " .-_*"
+SPACE = re.compile(r"\s")
 SIGNS = re.compile(r"[0-9@$!|+]")
 LEET_CORE = re.compile(r"[a-zA-Z][0-9@$!|+][a-zA-Z0-9]|[0-9@$!|+][a-zA-Z][a-zA-Z0-9@$!|+]")
 REPEATS = re.compile(r"([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*]{1,2}[^\W_@$!]){3,}(?![^\W_])")
-LONGEST = 40  # characters of a stretch; longer ones are keys or data, not words
-COST = {"same": 0.0, "leet": 1.0, "drop_sep": 0.5, "drop_repeat": 1.0, "keep_sign": 6.0}
+COST = {"same": 0.0, "leet": 1.0, "drop_sep": 0.5, "drop_repeat": 1.0, "keep_sign": 6.0, "end_word": 0.5}
 
 
 def folded(w: str) -> str:
@@ -98,10 +99,10 @@ class CharModel:
 
 
 def arcs(s: str, i: int) -> list[tuple[str, float]]:
-    """(letters out, channel cost) of the lattice at position i."""
+    """(letters out, channel cost) of the lattice at position i; a space out ends a word."""
     c = s[i]
     if c in SEPARATORS:
-        return [("", COST["drop_sep"])]
+        return [("", COST["drop_sep"]), (" ", COST["end_word"])]
     out = [(x, COST["leet"]) for x in LEET.get(c, "")]
     if c.isalpha():
         out.append((c, COST["same"]))
@@ -109,39 +110,51 @@ def arcs(s: str, i: int) -> list[tuple[str, float]]:
             out.append(("", COST["drop_repeat"] if i < 2 or s[i - 2] != c else 0.0))
     elif not out:
         out.append(("", COST["keep_sign"]))
+        if not c.isalnum():
+            out.append((" ", COST["end_word"]))
     return out
 
 
 def restore(s: str, model: CharModel) -> str:
-    """The likeliest letters behind a stretch of text."""
-    states: dict[str, tuple[float, str]] = {"  ": (0.0, "")}
+    """The likeliest words behind a stretch of text, with spaces between them."""
+    # by the two letters before: the cost, and the way back as (way before, letter)
+    states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
     for i in range(len(s)):
-        step: dict[str, tuple[float, str]] = {}
-        for two, (cost, out) in states.items():
-            for letters, k in arcs(s, i):
-                to, total = (two[1] + letters, cost + k + model.cost(two, letters)) if letters else (two, cost + k)
+        step: dict[str, tuple[float, tuple | None]] = {}
+        found = arcs(s, i)
+        for two, (cost, way) in states.items():
+            for letter, k in found:
+                if not letter or letter == " " and two == "  ":
+                    to, total, new = two, cost + k, way
+                else:
+                    to, total, new = "  " if letter == " " else two[1] + letter, cost + k + model.cost(two, letter), (way, letter)
                 if to not in step or total < step[to][0]:
-                    step[to] = (total, out + letters)
+                    step[to] = (total, new)
         states = step
-    return min(((cost + model.cost(two, " ")), out) for two, (cost, out) in states.items())[1]
+    # at the end a word is closed, unless none is begun
+    ends = [(cost if two == "  " else cost + model.cost(two, " "), two) for two, (cost, _) in states.items()]
+    way, out = states[min(ends)[1]][1], []
+    while way:
+        way, letter = way
+        out.append(letter)
+    return "".join(reversed(out))
 
 
 def stretches(text: str) -> set[str]:
     """The distinct obfuscated-looking stretches of a lower-cased text."""
     out = set()
-    found = list(REPEATS.finditer(text))
-    if SIGNS.search(text):
-        found += LEET_CORE.finditer(text)
-    for m in found:
-        a, b = m.start(), m.end()
-        while a > 0 and not text[a - 1].isspace() and b - a <= LONGEST:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - a <= LONGEST:
-            b += 1
-        s = text[a:b].strip(".,;:?!\"'()[]{}<>*#%&-_/\\~`^=")
-        if len(s) <= LONGEST:
-            out.add(s)
-    out.update(m[0] for m in SPACED.finditer(text) if len(m[0]) <= 2 * LONGEST)
+    found = [REPEATS, LEET_CORE] if SIGNS.search(text) else [REPEATS]
+    for sign in found:
+        end = 0
+        for m in sign.finditer(text):
+            if m.start() >= end:  # else in the stretch before
+                a = m.start()
+                while a > 0 and not text[a - 1].isspace():
+                    a -= 1
+                gap = SPACE.search(text, m.end())
+                end = gap.start() if gap else len(text)
+                out.add(text[a:end].strip(".,;:?!\"'()[]{}<>*#%&-_/\\~`^="))
+    out.update(m[0] for m in SPACED.finditer(text))
     return out
 
 
@@ -150,7 +163,7 @@ def words_of(text: str | None, model: CharModel | None) -> set[str]:
     words = set(WORD.findall(low))
     if model:
         for s in stretches(low):
-            words.add(restore(s, model))
+            words.update(restore(s, model).split())
     return words
 
 

@@ -264,6 +264,18 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.training_rows(odd, y)[0] in ([("", 1)], [])
 
 
+def test_stretches_of_any_length_come_back_as_words():
+    r = random.Random(2)
+    rows = [(f"he is a man and {prose(40, i)}" + (" " + " ".join(r.sample(["villain", "rotten", "beastly"], 2)) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    m = toxicity.train(rows)
+    clean = prose(30, 2000)
+    spaced = " ".join("heisamanandavillain" + "heisaman" * 6)
+    for w in ["v1" + "l" * 60 + "ain", "vi" + "l" * 5000 + "ain", "he is a v i l l a i n ok", spaced, "x/" * 40 + "v1llain", "v1llain/" + "b-" * 40]:
+        assert m.score(f"{clean} {w} end") >= 0.5, w[:80]
+    assert "villain" in toxicity.words_of("he is a v i l l a i n ok", m.chars) and "villain" in toxicity.words_of(spaced, m.chars)
+    assert toxicity.restore("", m.chars) == "" and m.score(f"{clean} {'9a' * 50_000} {'z' * 50_000}") < 0.5
+
+
 def test_letters_are_counted_over_all_texts(spark, monkeypatch):
     from collections import Counter
 
