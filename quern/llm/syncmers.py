@@ -7,10 +7,10 @@ on its own words only, so equal passages give equal anchors wherever they stand,
 runs of anything but ASCII whitespace; a text of fewer than K words has one anchor, all of
 it, and a text without words has none.
 
-``anchors`` gives all of them with their word positions, for positional matching.  A
-fingerprint keeps the ``SKETCH`` smallest distinct anchor hashes (a bottom sketch, fixed in size; the
-feature of a fingerprint), written as hex in ascending order; ``likeness`` estimates
-2 |A & B| / (|A| + |B|) from two of them, exactly where both texts have at most SKETCH anchors.
+``anchors`` gives all of them with their word positions.  A fingerprint is all of a text's
+anchors in the order of their positions, each written as position:hash (hex), so its length follows the text's, and
+passages can be matched by position from it.  ``likeness`` is exact: 2 |A & B| / (|A| + |B|) of the sets
+of distinct anchor hashes of two texts.
 
 Everything is DataFrame functions.  Neighbours in doc_id order come from one shuffle by range
 buckets: bounds are doc_ids found by approximate percentiles, the first document of a bucket is sent
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import ASCII_SPACE, shuffle_partitions, table
 
-K, S, SKETCH = 5, 2, 256
+K, S = 5, 2
 BUCKETS_PER_PARTITION = 2
 
 
@@ -56,20 +56,19 @@ def anchors(hashes: Column) -> Column:
 
 
 def sketch(found: Column) -> Column:
-    """The smallest distinct anchor hashes, ascending, as signed integers."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["hash"]))), 1, SKETCH)
+    """All distinct anchor hashes, as signed integers."""
+    return F.array_distinct(F.transform(found, lambda x: x["hash"]))
 
 
-def render(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), " ")
+def render(found: Column) -> Column:
+    """Anchors as text: position:hash, in the order of their positions."""
+    return F.array_join(F.transform(found, lambda x: F.concat(x["pos"].cast("string"), F.lit(":"), F.lower(F.hex(x["hash"])))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice similarity as two sketches tell it."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    both = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    j = both / F.size(union)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when(F.size(union) == 0, F.lit(0.0)).otherwise(2 * j / (1 + j))
+    """Dice similarity of two arrays of distinct hashes."""
+    n = F.size(a) + F.size(b)
+    return F.when(n == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)) / n)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -105,10 +104,10 @@ def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     d = d.select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
     # each text's words are hashed once, its anchors found once
-    s = lambda c: sketch(anchors(F.col(c)))
     d = d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *[word_hashes(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
-    d = d.select("doc_id", "n_chars", "edited_sha256", s("text").alias("a"), s("edited").alias("e"), s("next_text").alias("x"))
+    d = d.select("doc_id", "n_chars", "edited_sha256", *[anchors(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
+    d = d.select("*", sketch(F.col("text")).alias("a"), sketch(F.col("edited")).alias("e"), sketch(F.col("next_text")).alias("x"))
     return d.select(
-        "doc_id", "n_chars", "edited_sha256", render(F.col("a")).alias("fingerprint"), render(F.col("e")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", render(F.col("text")).alias("fingerprint"), render(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("a"), F.col("e")).alias("near_edited"), likeness(F.col("a"), F.col("x")).alias("near_next"),
     )

@@ -199,6 +199,23 @@ def test_syncmers_depend_on_their_window_only(spark):
     assert max(q - p for p, q in zip(at, at[1:])) <= syncmers.K - syncmers.S + 1
 
 
+def test_fingerprints_keep_every_anchor(spark, tmp_path):
+    """A passage of 100 words that two long texts share: found in both, with its positions."""
+    many = lambda n, seed: " ".join(f"w{random.Random(seed * 10**6 + i).randrange(10**9)}" for i in range(n))
+    passage = many(100, 1)
+    texts = [many(5000, 2) + " " + passage + " " + many(3000, 3), many(2000, 4) + " " + passage + " " + many(6000, 5)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    r = sorted(syncmers.op4_document_fingerprints(spark, str(tmp_path)).collect())
+    x, y = ([(int(p), h) for p, h in (a.split(":") for a in v["fingerprint"].split())] for v in r)
+    assert len(x) > 3000 and len(y) > 3000 and x == sorted(x)
+    both = {h for _, h in x} & {h for _, h in y}
+    shifts = {p - q for p, h in x for q, g in y if h == g and h in both}
+    assert len(both) >= 96 // 4 and shifts == {3000}
+    for v, other in ((r[0], y), (r[1], x)):
+        own = {h for _, h in (x if v is r[0] else y)}
+        assert v["near_next"] == pytest.approx(2 * len(both) / (len(own) + len({h for _, h in other})))
+
+
 # --- 5 ---
 
 
