@@ -3,8 +3,8 @@
 Rules give the base spans.  The CRF tags tokens O, B or I (outside, begin, inside a
 secret) from the token's shape, its neighbouring words and features of the file, and is
 decoded by Viterbi.  It is trained here, by stochastic gradient ascent on the conditional
-likelihood, from at most ``TRAIN_DOCS`` documents (those of the smallest id hash) in which
-the rules label the tokens; each secret is learned as it is and once more with random letters and
+likelihood, from at most ``TRAIN_DOCS`` documents, half of them with a secret as far as there are any
+(those of the smallest id hash), in which the rules label the tokens; each secret is learned as it is and once more with random letters and
 digits in its place, so that other alphabets are known too.  Tokens that look random but that no rule covers are left out
 of training (they may be unknown secrets), so shape alone can carry a decision elsewhere.
 
@@ -37,6 +37,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 #: As long as the maximal run itself, so shorter runs need not be visited.
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: A text with a secret, for Spark (Java's syntax): the rules as one.
+ANY_RULE = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6})|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 SEED = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 CONTEXT = 48  # characters on either side of a seed
@@ -250,9 +252,13 @@ def all_spans(text: str, model: Crf | None) -> list[tuple[int, int, int]]:
 
 
 def training_texts(docs: DataFrame, bound: int = TRAIN_DOCS) -> list[str]:
-    ids = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id").select("doc_id", "text").where(F.col("text").isNotNull()).collect()  # ids: `bound` rows
-    return [r["text"] for r in sorted(rows)][:bound]
+    """Texts with a secret and texts without, half of ``bound`` each at most (those of the smallest id hash)."""
+    d = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("text").rlike(ANY_RULE).alias("has"))
+    h, half = F.xxhash64("doc_id"), bound // 2
+    first = lambda has: d.where(F.col("has") == has).select("doc_id", "has").orderBy(h, "doc_id").limit(half)
+    rows = d.join(F.broadcast(first(True).unionByName(first(False)).distinct()), ["doc_id", "has"]).select("doc_id", "text", "has").collect()  # ids: `bound` rows
+    rows = sorted((r["doc_id"], r["text"], r["has"]) for r in rows)
+    return [t for has in (True, False) for t in [t for _, t, x in rows if x == has][:half]]
 
 
 def find_secrets(docs: DataFrame, model: Crf | None) -> DataFrame:

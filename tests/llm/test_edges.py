@@ -330,6 +330,14 @@ def test_secrets(spark, odd, empty):
     assert secrets.find_secrets(empty, m).collect() == [] and len(secrets.find_secrets(odd, None).collect()) == len(odd_rows()) and secrets.train(["nothing here"]) is None
 
 
+def test_rare_secrets_are_in_the_training_sample(spark):
+    texts = [f"text {i}" + (" password = hunter2hunter2" if i in (77, 4000) else "") for i in range(5000)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "token=abcdefgh"), (6000, None)], "doc_id long, text string")
+    got = secrets.training_texts(docs, 40)
+    assert len(got) == 22 and set(got[:2]) == {texts[77], texts[4000]} and got == secrets.training_texts(docs.repartition(7), 40)
+    assert secrets.training_texts(docs.limit(0)) == []
+
+
 # --- 8 ---
 
 
