@@ -8,8 +8,11 @@ likelihood, from at most ``TRAIN_DOCS`` documents, half of them with a secret as
 digits in its place, so that other alphabets are known too.  Tokens that look random but that no rule covers are left out
 of training (they may be unknown secrets), so shape alone can carry a decision elsewhere.
 
-The CRF runs on windows of tokens around seeds: runs of 16 or more key characters with a
-digit and a letter.  Outside windows every token is O.  Only spans disjoint from all base
+The CRF tags all tokens of every text.  A token's score depends on the classes of its neighbours, so
+scores are looked up for whole texts at once, and Viterbi runs where a bound on the gain of any
+span leaves the tag open: all others are O in the best sequence.  Training is on windows around
+secrets and seeds (runs of 16 or more key characters with a digit and a letter), on one plain stretch of
+each text, and on the stretches where a first model finds secrets that the rules do not.  Only spans disjoint from all base
 spans are added, so base spans stay as they are.
 
 Defined cases: null text is empty; an empty text has no spans; repeated rows are scanned
@@ -41,7 +44,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 ANY_RULE = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6})|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"""
 SEED = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
+ALNUM = re.compile(r"[A-Za-z0-9]*")
 CONTEXT = 48  # characters on either side of a seed
+PLAIN = 200  # characters of a plain stretch
+PIECE, TOKENS_HELD = 1 << 20, 200_000  # characters turned into tokens at once; distinct tokens remembered
 WORDS = {"password", "passwd", "secret", "token", "key", "apikey", "api", "bearer", "auth", "authorization", "credential", "private", "access", "pwd", "license", "sha", "md5", "commit", "id", "uuid"}
 O, B, I = 0, 1, 2
 DIM = 1 << 12
@@ -66,14 +72,14 @@ def _random_like(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Merged stretches of text around the seeds."""
+def windows(text: str, values: list[tuple[int, int]] = []) -> list[tuple[int, int]]:
+    """Merged stretches of text around the seeds and the values."""
     out: list[list[int]] = []
-    for m in SEED.finditer(text):
-        if _random_like(m[0]):
-            a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+    for x, y in sorted([m.span() for m in SEED.finditer(text) if _random_like(m[0])] + values):
+        if y > x:
+            a, b = max(0, x - CONTEXT), min(len(text), y + CONTEXT)
             if out and a <= out[-1][1]:
-                out[-1][1] = b
+                out[-1][1] = max(out[-1][1], b)
             else:
                 out.append([a, b])
     return [tuple(x) for x in out]
@@ -141,6 +147,86 @@ def viterbi(emit: np.ndarray, trans: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
+def decode(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The tags of ``viterbi``.  A span of B and I gains over O at most the sum of its tokens' best gains and what
+    leaving it gives; a token all of whose spans would lose is O, and cuts the search."""
+    into = np.maximum(emit[:, B] + trans[:, B].max(), emit[:, I] + trans[1:, I].max()) - emit[:, O] - trans[O, O]
+    into[0] = max(into[0], emit[0, B] - emit[0, O])
+    leave = max(0.0, trans[1:, O].max() - trans[O, O])
+    total = np.concatenate([[0.0], np.cumsum(into)])
+    best = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])
+    is_open = np.concatenate([[False], best + leave >= -1e-6, [False]])
+    tags = np.zeros(len(emit), np.int8)
+    for a, b in np.flatnonzero(is_open[1:] != is_open[:-1]).reshape(-1, 2):
+        lo, hi = max(0, a - 1), min(len(emit), b + 1)
+        e = emit[lo:hi].copy()
+        if lo < a:
+            e[0, 1:] = -1e9
+        if hi > b:
+            e[-1, 1:] = -1e9
+        tags[lo:hi] = viterbi(e, trans)
+    return tags
+
+
+class Tables:
+    """Scores of whole texts: each class of tokens (shape and telling word) has what it adds to its own
+    token and to those beside it."""
+
+    def __init__(self, w: np.ndarray):
+        self.w, self.known, self.classes = w, {}, {}
+        self.rows: dict[int, list[np.ndarray]] = {k: [] for k in (0, -2, -1, 1)}
+        self.words: list[str] = []
+        self.packed: dict[int, np.ndarray] = {}
+
+    def _sum(self, names: list[str]) -> np.ndarray:
+        return self.w[[_id(x) for x in names]].sum(0)
+
+    def _class(self, token: str) -> int:
+        shape, word = _shape(token), token.lower() if token.lower() in WORDS else ""
+        key = (*shape, word)
+        if key not in self.classes:
+            self.classes[key] = len(self.classes)
+            self.rows[0].append(self._sum(shape))
+            for k in (-2, -1, 1):
+                self.rows[k].append(self._sum([f"{k}:{x}" for x in shape[:2]]))
+            self.words.append(word)
+            self.packed = {}
+        return self.classes[key]
+
+    def codes(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        while at < len(text):
+            end = ALNUM.match(text, min(len(text), at + PIECE)).end()  # tokens are not cut
+            tokens = TOKEN.findall(text, at, end)
+            if len(self.known) > TOKENS_HELD:
+                self.known.clear()
+            for t in set(tokens):
+                if t not in self.known:
+                    self.known[t] = self._class(t)
+            out.append(np.fromiter(map(self.known.__getitem__, tokens), np.int32, len(tokens)))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
+
+    def emit(self, text: str) -> np.ndarray:
+        """As _emit(w, features(tokens, file_features(text))) for all tokens of the text."""
+        c = self.codes(text)
+        if not len(c):
+            return np.zeros((0, 3))
+        if not self.packed:
+            self.packed = {k: np.array(v) for k, v in self.rows.items()}
+            self.telling = np.array([bool(x) for x in self.words])
+        e = self.packed[0][c] + self._sum(["bias", *file_features(text)])
+        for k in (-2, -1):
+            e[-k:] += self.packed[k][c[:k]]
+            e[:-k] += self._sum([f"{k}:edge"])
+        e[:-1] += self.packed[1][c[1:]]
+        e[-1] += self._sum(["1:edge"])
+        near = {(i, self.words[c[p]]) for p in np.flatnonzero(self.telling[c]).tolist() for i in range(p + 1, min(len(c), p + 6))}
+        for i, word in sorted(near):
+            e[i] += self._sum([f"near={word}"])
+        return e
+
+
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis)
     return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis))
@@ -150,6 +236,7 @@ class Crf:
     def __init__(self) -> None:
         self.w, self.t = np.zeros((DIM, 3)), np.zeros((3, 3))
         self.t[O, I] = -1e4  # I follows B or I only
+        self._tables: Tables | None = None
 
     def step(self, feats: list[list[int]], tags: list[int], rate: float) -> None:
         """One ascent step on the log-likelihood of one sequence."""
@@ -178,6 +265,16 @@ class Crf:
     def tag(self, feats: list[list[int]]) -> list[int]:
         return viterbi(_emit(self.w, feats), self.t)
 
+    def tag_text(self, text: str) -> np.ndarray:
+        """Tags of all tokens of a text."""
+        if self._tables is None:
+            self._tables = Tables(self.w)
+        e = self._tables.emit(text)
+        return decode(e, self.t) if len(e) else np.zeros(0, np.int8)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_tables": None}
+
 
 def respelled(text: str, values: list[tuple[int, int]], rng: np.random.Generator) -> str:
     """The text with its secrets written in letters of either case and digits: secrets of other alphabets."""
@@ -193,7 +290,7 @@ def examples(text: str, values: list[tuple[int, int]]) -> list[tuple[list[list[i
     """Windows that the values label in full."""
     file, out = file_features(text), []
     inside = lambda a, b: any(x <= a and b <= y for x, y in values)
-    for lo, hi in windows(text):
+    for lo, hi in windows(text, values):
         if any(_random_like(m[0]) and not any(x < lo + m.end() and lo + m.start() < y for x, y in values) for m in SEED.finditer(text[lo:hi])):
             continue
         tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, lo, hi)]
@@ -217,31 +314,44 @@ def train(texts: list[str], epochs: int = 4, rate: float = 0.05, seed: int = 7)
         if values:
             data += examples(respelled(t, values, rng), values)
     # plain stretches, so that ordinary words are seen as O in every neighbourhood
-    for t in texts[:400]:
-        tokens = [m[0] for m in TOKEN.finditer(t[:400])]
-        if tokens and not windows(t[:448]):
-            data.append((features(tokens, file_features(t)), [O] * len(tokens)))
+    for t in texts:
+        at = int(rng.integers(max(1, len(t) - PLAIN)))
+        data += plain(t, at, at + PLAIN)
     if not any(B in tags for _, tags in data):
         return None
     model = Crf()
     for e in range(epochs):
         for i in rng.permutation(len(data)):
             model.step(*data[i], rate / (1 + e))
+    # what is found apart from the rules' secrets is learned as O, unless it looks random
+    wrong = [x for t in texts for a, b in crf_spans(t, model) if not any(x < b and a < y for x, y in _values(t)) for x in plain(t, a - CONTEXT, b + CONTEXT)]
+    if wrong:
+        data += [wrong[i] for i in rng.permutation(len(wrong))[: len(data)]]
+        for i in rng.permutation(len(data)):
+            model.step(*data[i], rate / 2)
+    model._tables = None  # of the weights before
     return model
 
 
+def plain(text: str, lo: int, hi: int) -> list[tuple[list[list[int]], list[int]]]:
+    """The stretch as an example of O throughout, if it holds no secret and nothing that may be one."""
+    lo, hi = max(0, lo), min(len(text), hi)
+    near = text[max(0, lo - CONTEXT) : hi + CONTEXT]
+    tokens = [m[0] for m in TOKEN.finditer(text, lo, hi)]
+    if not tokens or _values(near) or windows(near) or any(len(t) >= 8 and _random_like(t) for t in tokens):
+        return []
+    return [(features(tokens, file_features(text)), [O] * len(tokens))]
+
+
 def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
-    file, out = None, []
-    for lo, hi in windows(text):
-        file = file or file_features(text)
-        tokens = list(TOKEN.finditer(text, lo, hi))
-        tags = model.tag(features([m[0] for m in tokens], file))
-        for m, tag in zip(tokens, tags):
-            if tag == B or tag == I and not out:
+    tags, out = model.tag_text(text), []
+    if tags.any():
+        for m, tag in zip(TOKEN.finditer(text), tags.tolist()):
+            if tag == B:
                 out.append([m.start(), m.end()])
             elif tag == I:
                 out[-1][1] = m.end()
-    return [(a, b) for a, b in out if b - a >= 16]
+    return [(a, b) for a, b in out]
 
 
 def all_spans(text: str, model: Crf | None) -> list[tuple[int, int, int]]:

@@ -330,6 +330,30 @@ def test_secrets(spark, odd, empty):
     assert secrets.find_secrets(empty, m).collect() == [] and len(secrets.find_secrets(odd, None).collect()) == len(odd_rows()) and secrets.train(["nothing here"]) is None
 
 
+def test_every_token_is_tagged(monkeypatch):
+    """The quick decoding of whole texts against features and Viterbi over all tokens."""
+    r = random.Random(3)
+    tok = lambda n, a="0123456789abcdef": "".join(r.choice(a) for _ in range(n))
+    texts = [prose(20, i) + f' {r.choice(["token", "password", "secret"])} = "{tok(r.choice([8, 12, 40]))}" ' + prose(20, i + 1) for i in range(80)]
+    m = secrets.train(texts)
+    monkeypatch.setattr(secrets, "PIECE", 50)
+    tests = ["", "x", "é key", *texts[:10], prose(50, 7) + f" secret key : {tok(10)} " + prose(50, 8), " ".join(tok(r.randint(1, 30), "ab01_=. ") for _ in range(60))]
+    for k in range(3):
+        g = np.random.default_rng(k)
+        n = m if k == 0 else secrets.Crf()
+        if k:
+            n.w, n.t = g.normal(size=n.w.shape) * [1, 0.7, 0.7], g.normal(size=(3, 3))
+            n.t[0, 2] = -1e4
+        for t in tests:
+            tokens = secrets.TOKEN.findall(t)
+            if tokens:
+                feats = secrets.features(tokens, secrets.file_features(t))
+                n._tables = secrets.Tables(n.w)
+                assert np.allclose(n._tables.emit(t), secrets._emit(n.w, feats)) and n.tag_text(t).tolist() == n.tag(feats)
+    short = [f'{prose(20, 700 + i)} token = "{tok(10)}" {prose(20, i)}' for i in range(20)]  # no run of 16
+    assert sum(bool(secrets.crf_spans(t, m)) for t in short) >= 15
+
+
 def test_rare_secrets_are_in_the_training_sample(spark):
     texts = [f"text {i}" + (" password = hunter2hunter2" if i in (77, 4000) else "") for i in range(5000)]
     docs = spark.createDataFrame([*enumerate(texts), (None, "token=abcdefgh"), (6000, None)], "doc_id long, text string")
