@@ -11,7 +11,9 @@ to the power ``flatten`` (1 keeps the mix, 0 makes all values equal), or given s
 than it has; what it lacks is shared out among the others.
 
 Cells are grouped before anything is shuffled.  Up to ``MAX_CELLS`` of them are raked on the
-driver in numpy; more are raked by the same steps as tables.
+driver in numpy; more are raked as tables, by the same steps and the same rule for stopping:
+``SWEEPS`` at most, or when no probability changes by ``CLOSE`` in a sweep.  Both warn of margins that
+stay off target by more than ``OFF`` of it.
 
 Defined cases: null source, language or topic is a value of its own, written ``(none)``; a null or
 empty text has no tokens, topic ``empty``, and is kept with its cell's probability (cells
@@ -21,6 +23,8 @@ rows; extra columns pass through.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +35,7 @@ MARGINS = ("__mix_source", "__mix_lang", "__mix_topic")
 ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_selected")
 MAX_CELLS, SWEEPS, CLOSE = 200_000, 200, 1e-9
 BUDGET, FLATTEN, CAP = 0.5, 0.5, 1e3
+OFF = 1e-6
 NONE = "(none)"
 
 
@@ -71,6 +76,11 @@ def targets_of(totals: dict[str, float], budget: float, flatten: float, given: d
     return {k: min(float(totals[k]), x * v) for k, v in share.items()}
 
 
+def report(margin: str, off: int, worst: float) -> None:
+    if off:
+        warnings.warn(f"mixing: {off} values of {margin[6:]} stay off target, by {worst:.3g} of it at most", stacklevel=3)
+
+
 def rake(cells: list[tuple], budget: float = BUDGET, flatten: float = FLATTEN, given: dict[str, dict[str, float]] | None = None) -> np.ndarray:
     """Weights of cells (source, lang, topic, tokens)."""
     tokens = np.array([c[3] for c in cells], float)
@@ -91,10 +101,13 @@ def rake(cells: list[tuple], budget: float = BUDGET, flatten: float = FLATTEN, g
             w = np.where(tokens > 0, np.minimum(w * np.where(have > 0, t / np.where(have > 0, have, 1), 1)[ix], CAP), w)
         if np.abs(np.minimum(1, w) - np.minimum(1, before)).max(initial=0) < CLOSE:
             break
+    for m, ix, t in zip(MARGINS, index, want):
+        gap = np.abs(np.bincount(ix, tokens * np.minimum(1, w), len(t)) - t) / np.where(t > 0, t, 1)
+        report(m, int((gap > OFF).sum()), float(gap.max(initial=0)))
     return w
 
 
-def rake_tables(cells: DataFrame, budget: float = BUDGET, flatten: float = FLATTEN, given: dict[str, dict[str, float]] | None = None, sweeps: int = 30) -> DataFrame:
+def rake_tables(cells: DataFrame, budget: float = BUDGET, flatten: float = FLATTEN, given: dict[str, dict[str, float]] | None = None, sweeps: int | None = None) -> DataFrame:
     """The same steps over a table of cells: adds weight."""
     cells = materialize(cells.withColumn("weight", F.lit(1.0)), "rake")
     want = {}
@@ -107,13 +120,24 @@ def rake_tables(cells: DataFrame, budget: float = BUDGET, flatten: float = FLATT
         asked = t.where("share > 0" if g is not None else "true").select(F.sum("t")).first()[0] or 0
         x = scale_for(lambda f: t.select(F.sum(F.least(F.col("t").cast("double"), F.col("share") * f))).first()[0] or 0.0, budget * asked)  # noqa: B023
         want[m] = t.select(m, F.least(F.col("t").cast("double"), F.col("share") * x).alias("want"))
-    for _ in range(sweeps):
+    p = F.least(F.lit(1.0), "weight")
+    have_of = lambda m: cells.groupBy(m).agg(F.sum(F.col("tokens") * p).alias("have")).join(want[m], m)
+    for _ in range(SWEEPS if sweeps is None else sweeps):
+        cells = cells.withColumn("before", p)
         for m in MARGINS:
-            have = cells.groupBy(m).agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), "weight")).alias("have")).join(want[m], m)
+            have = have_of(m)
             f = have.select(m, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(1.0).alias("f"))
             new = materialize(cells.join(f, m).withColumn("weight", F.when(F.col("tokens") > 0, F.least(F.lit(CAP), F.col("weight") * F.col("f"))).otherwise(F.col("weight"))).drop("f"), "rake")
             discard(cells)
             cells = new
+        change = cells.agg(F.max(F.abs(p - F.col("before")))).first()[0]
+        cells = cells.drop("before")
+        if change is None or change < CLOSE:
+            break
+    for m in MARGINS:
+        gap = F.abs(F.col("have") - F.col("want")) / F.when(F.col("want") > 0, F.col("want")).otherwise(1.0)
+        r = have_of(m).agg(F.count_if(gap > OFF).alias("n"), F.max(gap).alias("worst")).first()
+        report(m, r["n"], r["worst"])
     return cells
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import warnings
 
 import numpy as np
 import pytest
@@ -439,6 +440,27 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_tables_rake_by_the_same_limit_and_stop_rule(spark, monkeypatch):
+    """Margins that converge slowly are left at the same sweep, with a warning; others stop when nothing changes."""
+    given = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.7, "y": 0.3}}
+    steps, write = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: steps.append(name) or write(df, name))
+    for small, limit, ends in ((200, 5, False), (0, 200, True)):
+        cells = [("a", "x", "t", 1000), ("a", "y", "t", small), ("b", "x", "t", small), ("b", "y", "t", 1000)][:: 3 if ends else 1]
+        g = given | {"lang": {"x": 0.5, "y": 0.5}} if ends else given
+        monkeypatch.setattr(mixing, "SWEEPS", limit)
+        table = spark.createDataFrame(cells, "__mix_source string, __mix_lang string, __mix_topic string, tokens long").coalesce(1)
+        steps.clear()
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            want = mixing.rake(cells, 0.4, 1.0, g)
+            n = sum("off target" in str(x.message) for x in said)
+            rows = {tuple(r)[:2]: r["weight"] for r in mixing.rake_tables(table, 0.4, 1.0, g).select("__mix_source", "__mix_lang", "weight").collect()}
+            assert sum("off target" in str(x.message) for x in said) == 2 * n and (n == 0) == ends
+        assert np.allclose(want, [rows[c[:2]] for c in cells], rtol=1e-9)
+        assert steps.count("rake") == 1 + 3 * (2 if ends else limit)
+
+
 def test_fragments_sorted_in_several_parts(monkeypatch):
     g = np.random.default_rng(3)
     base = g.integers(97, 123, 4000).astype(np.uint8).tobytes()
