@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.plans.schema import SchemaError, absent, field, key_of, nullable
+from quern.plans.schema import SchemaError, absent, field, key_of, nullable, paths_of, readable
 
 if TYPE_CHECKING:
     from quern.sources.database import Database
@@ -33,18 +33,20 @@ class Entities:
     # --- catalog ---
 
     def create(self) -> None:
+        self._note_fields()  # first: data without its names would read as defaults
         self.spark.createDataFrame([], self.stored).write.mode("append").parquet(self.path)
-        self._note_fields()
 
-    def _known_fields(self) -> set[str]:
+    def _known_fields(self) -> dict[str, str]:
+        """Paths and types that were ever written."""
         fs, p = self.db._file_system(f"{self.path}/{FIELDS}")
         if not fs.exists(p):
-            return set()
-        return {r["value"] for r in self.spark.read.text(f"{self.path}/{FIELDS}").distinct().collect()}
+            return {}
+        return dict(sorted(r["value"].split("\t") for r in self.spark.read.text(f"{self.path}/{FIELDS}").distinct().collect()))
 
     def _note_fields(self) -> None:
-        """Keep the names that were ever written: files alone cannot tell a name's case from another's cheaply."""
-        new = [(n,) for n in self.stored.names if n not in self._known_fields()]
+        """Keep the names that were ever written, at any depth: files alone cannot tell a name's case from another's cheaply."""
+        known = self._known_fields()
+        new = [(f"{p}\t{t}",) for p, t in paths_of(self.stored).items() if p not in known]
         if new:
             self.spark.createDataFrame(new, "value string").coalesce(1).write.mode("append").text(f"{self.path}/{FIELDS}")
 
@@ -54,8 +56,8 @@ class Entities:
         """All documents, in no order.  Lazy; every call lists the files anew, so it sees what was appended before it."""
         # names are case-sensitive: one that is stored in another case only is not stored
         known = self._known_fields()
-        df = self.spark.read.schema(T.StructType([f for f in self.stored.fields if f.name in known])).parquet(self.path)
-        return df.select(*[(field(F.col(f"`{f.name}`"), f) if f.name in known else absent(f)).alias(f.name, metadata=f.metadata) for f in self.schema.fields])
+        df = self.spark.read.schema(readable(self.stored, known)).parquet(self.path)
+        return df.select(*[(field(F.col(f"`{f.name}`"), f, known, f.name) if f.name in known else absent(f)).alias(f.name, metadata=f.metadata) for f in self.schema.fields])
 
     # --- append ---
 

@@ -2,7 +2,7 @@
 
 The reader's schema decides: stored fields it does not name are skipped, fields that are not stored
 (or null) read as the field's default, which is 0 for a plain ``int`` and NULL otherwise.  Names
-are case-sensitive.  The key is the first field marked ``key``.
+are case-sensitive at every depth.  The key is the first field marked ``key``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import dataclasses
 import datetime
 import decimal
+import re
 import types
 import typing
 
@@ -121,6 +122,37 @@ def nullable(t: T.DataType) -> T.DataType:
     return t
 
 
+def paths_of(t: T.DataType, at: str = "") -> dict[str, str]:
+    """The type of every field at any depth by its path: names joined by dots, ``[]`` for an array's elements."""
+    if isinstance(t, T.ArrayType):
+        return paths_of(t.elementType, f"{at}[]")
+    out: dict[str, str] = {}
+    if isinstance(t, T.StructType):
+        for f in t.fields:
+            p = f"{at}.{f.name}" if at else f.name
+            out |= {p: f.dataType.simpleString()} | paths_of(f.dataType, p)
+    return out
+
+
+def readable(t: T.DataType, known: dict[str, str], at: str = "") -> T.DataType:
+    """The part of a type that files hold under these very names.  A structure of which they hold none is read by a
+    field of theirs, so that it can be told from null."""
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(readable(t.elementType, known, f"{at}[]"), True)
+    if not isinstance(t, T.StructType):
+        return t
+    path = lambda n: f"{at}.{n}" if at else n
+    out = [T.StructField(f.name, readable(f.dataType, known, path(f.name)), True, f.metadata) for f in t.fields if path(f.name) in known]
+    if not out and at:
+        inside = sorted(p for p in known if p.startswith(f"{at}.") and not re.search(r"[.\[]", p[len(at) + 1 :]))
+        out = [T.StructField(p[len(at) + 1 :], T.DataType.fromDDL(known[p])) for p in inside[:1]]
+    return T.StructType(out)
+
+
+def _missing(t: T.DataType, known: dict[str, str] | None, at: str) -> bool:
+    return known is not None and any(p not in known for p in paths_of(t, at))
+
+
 def _needs_default(t: T.DataType) -> bool:
     if isinstance(t, T.StructType):
         return any(_default(f) is not None or _needs_default(f.dataType) for f in t.fields)
@@ -136,14 +168,16 @@ def _default(f: T.StructField) -> object:
     return {T.BooleanType: False}.get(type(f.dataType), 0 if isinstance(f.dataType, T.NumericType) else None)
 
 
-def with_defaults(c: Column, t: T.DataType) -> Column:
-    """A stored value as the schema reads it; null structures and arrays stay null."""
-    if not _needs_default(t):
+def with_defaults(c: Column, t: T.DataType, known: dict[str, str] | None = None, at: str = "") -> Column:
+    """A stored value as the schema reads it; null structures and arrays stay null.  known: the paths that are stored
+    (all, if not given)."""
+    if not _needs_default(t) and not _missing(t, known, at):
         return c
     if isinstance(t, T.ArrayType):
-        return F.transform(c, lambda x: with_defaults(x, t.elementType))
+        return F.transform(c, lambda x: with_defaults(x, t.elementType, known, f"{at}[]"))
     assert isinstance(t, T.StructType)
-    return F.when(c.isNotNull(), F.struct(*[field(c[f.name], f).alias(f.name) for f in t.fields]))
+    stored = lambda f: known is None or f"{at}.{f.name}" in known
+    return F.when(c.isNotNull(), F.struct(*[(field(c[f.name], f, known, f"{at}.{f.name}") if stored(f) else absent(f)).alias(f.name) for f in t.fields]))
 
 
 def absent(f: T.StructField) -> Column:
@@ -152,6 +186,6 @@ def absent(f: T.StructField) -> Column:
     return F.lit(d).cast(f.dataType)
 
 
-def field(c: Column, f: T.StructField) -> Column:
-    c, d = with_defaults(c, f.dataType), _default(f)
+def field(c: Column, f: T.StructField, known: dict[str, str] | None = None, at: str = "") -> Column:
+    c, d = with_defaults(c, f.dataType, known, at), _default(f)
     return c if d is None else F.coalesce(c, F.lit(d).cast(f.dataType))

@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 from quern.functions import documents as D
 from quern.operators.entities import Entities
 from quern.operators.versions import VersionedEntities, history, latest
-from quern.sources.database import Database, scratch
+from quern.plans.schema import SchemaError
+from quern.plans.transaction import TransactionNotFound, TransactionOrder
+from quern.sources.database import Database, EntityExists, EntityNotFound, scratch
+from quern.sources.pagefile import export_entities, import_entity
 from quern.streaming.stream import copy_stream
 
 I, L, S = T.IntegerType(), T.LongType(), T.StringType()
@@ -62,6 +65,17 @@ def read_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.db.get("nation", T.StructType([T.StructField("n_nationkey", I, False, {"key": True}), T.StructField("N_NAME", S)])).get_all()
 
 
+def read_nested_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested name stored in another case only is not stored; one beside it is."""
+    df = _table(spark, sf_dir, "nation").select("n_nationkey", F.struct(F.col("n_name").alias("Name"), F.col("n_regionkey").alias("Region")).alias("of"), F.array(F.struct(F.col("n_name").alias("Tag"))).alias("tags"))
+    e = Database(spark, scratch(spark)).entities("nation", _with_key(df.schema, "n_nationkey"))
+    e.insert(df)
+    inner = T.StructType([T.StructField("NAME", S), T.StructField("Region", I)])
+    reader = T.StructType([T.StructField("n_nationkey", I, False, {"key": True}), T.StructField("of", inner), T.StructField("tags", T.ArrayType(T.StructType([T.StructField("tag", S)])))])
+    out = e.db.get("nation", reader).get_all()
+    return out.select("n_nationkey", F.col("of.NAME").alias("upper"), F.col("of.Region").alias("region"), F.size("tags").alias("n_tags"), F.col("tags")[0]["tag"].alias("tag"))
+
+
 def _orders_with_lines(spark: SparkSession, sf_dir: str) -> Entities:
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_quantity").alias("line"))
     lines = lines.groupBy("l_orderkey").agg(F.collect_list("line").alias("lines"))
@@ -83,6 +97,14 @@ def array_filter_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("o_orderkey", F.size(more).cast("long").alias("n_lines"), F.aggregate(more, F.lit(0.0), lambda a, x: a + x["l_quantity"]).alias("quantity"))
 
 
+def increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field raised by one, stored as a new entity and read again."""
+    e = _stored(spark, sf_dir, "nation", "n_nationkey")
+    to = e.db.entities("later", e.schema)
+    to.insert(e.get_all().withColumn("n_regionkey", F.col("n_regionkey") + 1))
+    return to.get_all()
+
+
 def identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _stored(spark, sf_dir, "nation", "n_nationkey")
     return e.get_all().select(D.identifier(e.schema), "n_name")
@@ -93,6 +115,51 @@ def doc_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.get_all().select("n_nationkey", D.document_size(e.schema).alias("doc_bytes"))
 
 
+def doc_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _stored(spark, sf_dir, "nation", "n_nationkey")
+    return e.get_all().select("n_nationkey", F.lower(F.hex(D.document_bytes(e.schema))).alias("doc_hex"))
+
+
+def pagefile_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two entities written to one page file, and one of them imported again."""
+    e = _stored(spark, sf_dir, "nation", "n_nationkey", 20)
+    df = _table(spark, sf_dir, "region")
+    other = e.db.entities("region", _with_key(df.schema, "r_regionkey"))
+    other.insert(df)
+    at = f"{scratch(spark, 'pages')}.db"
+    export_entities(at, other, e)
+    return import_entity(Database(spark, scratch(spark)), at, "nation", e.schema).get_all()
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is raised where the catalog, a transaction or a key forbids a step."""
+    df = _table(spark, sf_dir, "region")
+    db = Database(spark, scratch(spark))
+    schema = _with_key(df.schema, "r_regionkey")
+    e = db.create("region", schema)
+
+    def out_of_order() -> None:
+        outer, _ = db.transaction(), db.transaction()
+        try:
+            outer.commit()
+        finally:
+            while db.transactions.current is not None:
+                db.transactions.current.rollback()
+
+    steps = {
+        "create twice": lambda: db.create("region", schema), "get what is not there": lambda: db.get("Region", schema), "commit the outer one first": out_of_order,
+        "stage without a transaction": lambda: db.transactions.stage(e, df), "a null key": lambda: e.insert([{"r_regionkey": None, "r_name": "x"}]), "no object": lambda: e.insert([5]),
+    }
+    rows = []
+    for name, step in steps.items():
+        try:
+            step()
+            rows.append((name, "nothing"))
+        except (EntityExists, EntityNotFound, TransactionNotFound, TransactionOrder, SchemaError) as x:
+            rows.append((name, type(x).__name__))
+    return spark.createDataFrame(rows, "step string, raised string")
+
+
 def to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _stored(spark, sf_dir, "nation", "n_nationkey").get_all().select("n_nationkey", "n_name")
     return df.select(D.to_json(df).alias("js"))
@@ -155,8 +222,8 @@ def ext_stream_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        get_all, insert_append_dup_keys, read_unknown_skipped, read_missing_default, read_widened, read_case_sensitive, nested_roundtrip, array_filter_concat, identifier, doc_size,
-        to_json, transaction_nesting, update_by_id_stub, get_histories_stub, ext_latest, ext_history, ext_update, ext_variant, ext_stream_copy,
+        get_all, insert_append_dup_keys, read_unknown_skipped, read_missing_default, read_widened, read_case_sensitive, read_nested_case, nested_roundtrip, array_filter_concat, identifier, doc_size,
+        doc_bytes, pagefile_roundtrip, errors, increment, to_json, transaction_nesting, update_by_id_stub, get_histories_stub, ext_latest, ext_history, ext_update, ext_variant, ext_stream_copy,
     )
 }
 
@@ -167,6 +234,11 @@ ORACLES = {
     "read_missing_default": "SELECT n_nationkey, 0::INT AS age, NULL::VARCHAR AS note FROM nation UNION ALL SELECT n_nationkey, 0, NULL FROM nation",
     "read_widened": "SELECT n_nationkey::BIGINT AS n_nationkey, n_regionkey::DOUBLE AS n_regionkey FROM nation",
     "read_case_sensitive": 'SELECT n_nationkey, NULL::VARCHAR AS "N_NAME" FROM nation',
+    "read_nested_case": "SELECT n_nationkey, NULL::VARCHAR AS upper, n_regionkey AS region, 1::INT AS n_tags, NULL::VARCHAR AS tag FROM nation",
+    "increment": "SELECT n_nationkey, n_name, (n_regionkey + 1)::INT AS n_regionkey FROM nation",
+    "doc_bytes": "SELECT n_nationkey, lower('07' || printf('%02x', n_nationkey) || '0000001303000000' || '0b000000' || hex(encode('n_nationkey')) || '07' || printf('%02x', n_nationkey) || '000000' || '06000000' || hex(encode('n_name')) || '02' || printf('%02x', strlen(n_name)) || '000000' || hex(encode(n_name)) || '0b000000' || hex(encode('n_regionkey')) || '07' || printf('%02x', n_regionkey) || '000000') AS doc_hex FROM nation",
+    "pagefile_roundtrip": "SELECT nation.* FROM nation, range(20)",
+    "errors": "SELECT * FROM (VALUES ('create twice', 'EntityExists'), ('get what is not there', 'EntityNotFound'), ('commit the outer one first', 'TransactionOrder'), ('stage without a transaction', 'TransactionNotFound'), ('a null key', 'SchemaError'), ('no object', 'SchemaError')) t(step, raised)",
     "nested_roundtrip": "SELECT o_orderkey, o_orderstatus, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
     "array_filter_concat": "SELECT o_orderkey, count(*) FILTER (WHERE l_linenumber <> 1) + 1 AS n_lines, coalesce(sum(l_quantity) FILTER (WHERE l_linenumber <> 1), 0) + 1.0::DOUBLE AS quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
     "identifier": "SELECT n_nationkey AS _id, n_name FROM nation",

@@ -1,4 +1,4 @@
-"""Import of single-file page stores (an extension): fixed pages of slotted, tagged documents.
+"""Import and export of single-file page stores (an extension): fixed pages of slotted, tagged documents.
 
 The file is read as records of one page each, so Spark splits it on any file system.  Documents are
 decoded to JSON in batches and take the reader's schema from there.  Which pages belong to an entity
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.documents import document_bytes
 from quern.operators.entities import Entities
 from quern.sources.database import Database
 
@@ -25,6 +26,7 @@ PAGE_SIZE = 8192
 CATALOG, DATA = 1, 2  # page types
 TYPE_AT, ITEMS_AT, NEXT_AT = 4, 5, 10  # in a data page's header
 ENTITY_COUNT_AT, ENTITIES_AT = 17, 32  # in page 0
+DOCUMENTS_AT, SLOT, MOST_ITEMS = 32, 4, 255  # where documents begin in a data page; bytes of a slot; a count of one byte
 NULL, STRING, INT, OBJECT, ARRAY = 1, 2, 7, 19, 20
 
 
@@ -137,3 +139,64 @@ def import_entity(db: Database, path: str, name: str, schema: object, all_pages:
     js = data.select("page").mapInPandas(run, "js string")
     entity.insert(js.select(F.from_json("js", T.StructType(entity.stored.fields)).alias("d")).select("d.*"))
     return entity
+
+
+def data_page(number: int, items: list[bytes], next_page: int) -> bytes:
+    b, at = bytearray(PAGE_SIZE), DOCUMENTS_AT
+    struct.pack_into("<IBB", b, 0, number, DATA, len(items))
+    struct.pack_into("<I", b, NEXT_AT, next_page)
+    for i, d in enumerate(items):
+        b[at : at + len(d)] = d
+        struct.pack_into("<HH", b, PAGE_SIZE - SLOT * (i + 1), len(d), at)
+        at += len(d)
+    return bytes(b)
+
+
+def catalog_page(first_last: dict[str, tuple[int, int]]) -> bytes:
+    b, at = bytearray(PAGE_SIZE), ENTITIES_AT
+    struct.pack_into("<IB", b, 0, 0, CATALOG)
+    b[ENTITY_COUNT_AT] = len(first_last)
+    for name, pages in first_last.items():
+        raw = name.encode()
+        entry = struct.pack("<i", len(raw)) + raw + struct.pack("<II", *pages)
+        if at + len(entry) > PAGE_SIZE or len(first_last) > MOST_ITEMS:
+            raise PageFileError("the names of the entities don't fit the catalog's page")
+        b[at : at + len(entry)] = entry
+        at += len(entry)
+    return bytes(b)
+
+
+def export_entities(path: str, *entities: Entities) -> None:
+    """Write entities to one page file.  The format is one sequence of pages, so the driver writes it, holding one page
+    and one partition of documents at a time (twice: the catalog comes first).  A document has to fit a page."""
+    spark = entities[0].spark
+    packed: dict[str, list[int]] = {}
+
+    def pages_of(e: Entities) -> Iterator[list[bytes]]:
+        items, size = [], 0
+        for r in e.get_all().select(document_bytes(e.schema).alias("d")).toLocalIterator():
+            d = bytes(r["d"])
+            if len(d) + SLOT > PAGE_SIZE - DOCUMENTS_AT:
+                raise PageFileError(f"a document of {len(d)} bytes doesn't fit a page")
+            if size + len(d) + SLOT > PAGE_SIZE - DOCUMENTS_AT or len(items) == MOST_ITEMS:
+                yield items
+                items, size = [], 0
+            items.append(d)
+            size += len(d) + SLOT
+        yield items
+
+    number = 1
+    for e in entities:
+        n = sum(1 for _ in pages_of(e))
+        packed[e.name] = [number, number + n - 1]
+        number += n
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
+    try:
+        out.write(bytearray(catalog_page({k: tuple(v) for k, v in packed.items()})))
+        for e in entities:
+            first, last = packed[e.name]
+            for at, items in zip(range(first, last + 1), pages_of(e), strict=True):
+                out.write(bytearray(data_page(at, items, at + 1 if at < last else 0)))
+    finally:
+        out.close()

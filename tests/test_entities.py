@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.documents import document_size, to_json
-from quern.operators.versions import VersionedEntities
+from quern.functions.documents import document_bytes, document_size, to_json
+from quern.operators.versions import VersionedEntities, history
 from quern.plans.schema import SchemaError, build, key_of
 from quern.plans.transaction import TransactionNotFound, TransactionOrder
-from quern.sources.database import Database, EntityNotFound, folder_of
+from quern.sources.database import Database, EntityExists, EntityNotFound, folder_of
 from quern.streaming.stream import copy_stream
-from tests_support import Passport, Person, Tag
+from tests_support import GOLDEN, Passport, Person, Tag
 
 
 PEOPLE = [
@@ -173,3 +173,64 @@ def test_stubs_versions_and_streams(db):
             e.insert(more)
         copy_stream(e, to, f"{db.path}-stream").awaitTermination()
         assert to.get_all().count() == n
+
+
+def test_binary_form_is_the_golden_one(db):
+    e = db.entities("parsons", Person)
+    e.insert(PEOPLE)
+    got = {r["Id"]: bytes(r["b"]) for r in e.get_all().select("Id", document_bytes(e.schema).alias("b")).collect()}
+    assert [got[1], got[2]] == GOLDEN
+    odd = db.entities("odd", struct(("k", T.StringType(), False, K), ("n", T.IntegerType(), True, {}), ("aa", T.ArrayType(T.ArrayType(T.IntegerType())), True, {}), ("o", T.StructType([T.StructField("é", T.StringType())]), True, {})))
+    odd.insert([{"k": "é", "n": -2, "aa": [[1, None], None, []], "o": {"é": None}}, {"k": "", "n": None, "aa": None, "o": None}])
+    from quern.sources.pagefile import document
+
+    rows = odd.get_all().select(document_bytes(odd.schema).alias("b"), document_size(odd.schema).alias("n")).collect()
+    assert [document(bytes(r["b"])) for r in sorted(rows, key=lambda r: -r["n"])] == [{"k": "é", "n": -2, "aa": [[1, None], None, []], "o": {"é": None}}, {"k": "", "n": None, "aa": None, "o": None}]
+    assert all(len(r["b"]) == r["n"] for r in rows)
+    with pytest.raises(SchemaError):
+        document_bytes(struct(("k", T.LongType(), False, K)))
+
+
+def test_names_are_case_sensitive_at_every_depth(db):
+    deep = T.StructType([T.StructField("A", T.StructType([T.StructField("B", T.IntegerType(), False)])), T.StructField("L", T.ArrayType(T.StructType([T.StructField("X", T.IntegerType())])))])
+    w = db.entities("w", struct(("k", T.IntegerType(), False, K), ("d", deep, True, {})))
+    w.insert([{"k": 1, "d": {"A": {"B": 5}, "L": [{"X": 7}, None]}}, {"k": 2, "d": {"A": None, "L": None}}, {"k": 3, "d": None}])
+    other = T.StructType([T.StructField("A", T.StructType([T.StructField("b", T.IntegerType(), False, {"default": 9})])), T.StructField("L", T.ArrayType(T.StructType([T.StructField("x", T.IntegerType())]))), T.StructField("l", T.StringType())][:2])
+    rows = {r["k"]: r["d"] for r in db.get("w", struct(("k", T.IntegerType(), False, K), ("d", other, True, {}))).get_all().collect()}
+    assert rows[1].asDict(True) == {"A": {"b": 9}, "L": [{"x": None}, None]} and rows[2].asDict(True) == {"A": None, "L": None} and rows[3] is None
+    same = db.get("w", w.schema).get_all()
+    assert {r["k"]: r["d"]["A"]["B"] for r in same.where("d.A.B IS NOT NULL").collect()} == {1: 5}
+
+
+def test_creation(db):
+    from datetime import datetime, timezone
+
+    assert abs((datetime.now(timezone.utc) - db.created_at).total_seconds()) < 600 and Database(db.spark, db.path).created_at == db.created_at
+    db.create("p", Person)
+    with pytest.raises(EntityExists):
+        db.create("p", Person)
+    assert db.names() == ["p"] and db.entities("p", Person).get_all().count() == 0
+
+
+def test_a_commit_that_fails_ends_its_transaction(db):
+    e = db.entities("p", Person)
+    t = db.transaction()
+    e.insert(db.spark.createDataFrame([(None, "x", 1, None, None)], e.stored))
+    with pytest.raises(Exception, match="null"):
+        t.commit()
+    assert db.transactions.current is None and e.get_all().count() == 0
+
+
+def test_versions_of_several_writers_and_of_one_upsert(db):
+    v, other = VersionedEntities(db, "v", Person), VersionedEntities(db, "v", Person)
+    assert [v._claim(), other._claim(), v._claim()] == [1, 2, 3]
+    v.upsert(db.spark.createDataFrame([(1, f"n{i}", i, None, None) for i in range(5)], "Id int, Name string, Age int, Passport struct<Code:string>, Tags array<struct<Name:string>>").coalesce(1))
+    assert [r["Age"] for r in v.current().collect()] == [4] and sorted((r["ver"], r["Age"]) for r in v.histories().collect()) == [(i + 1, i) for i in range(5)]
+
+
+def test_history_of_a_hot_key_is_numbered_by_ranges(db):
+    rows = [(1, i * 7 % 1000) for i in range(1000)] + [(None, i) for i in range(5)] + [(2, None), (2, 3), (3, 5)]
+    df = db.spark.createDataFrame(rows, "k int, v long").repartition(4)
+    got = sorted((str(r["k"]), r["ver"], str(r["v"])) for r in history(df, "k", "v", ranges=8).collect())
+    want = [(str(k), n + 1, str(v)) for k in (1, 2, 3, None) for n, v in enumerate(sorted((v for q, v in rows if q == k), key=lambda v: (v is not None, v or 0)))]
+    assert got == sorted(want) and history(df.limit(0), "k", "v").count() == 0
