@@ -28,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; sets one only where the session has none (tests)."""
+    """The folder every executor can reach: what the session names.  Only where it names none and driver and executors are
+    one process (tests), one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         path = jsc.getCheckpointDir().get()
     return path.rstrip("/")
