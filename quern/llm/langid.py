@@ -3,9 +3,10 @@
 A text's vector is the mean of the embeddings of its hashed byte n-grams (2 to 4 bytes of the
 lower-cased UTF-8 text, hashed to ``BUCKETS`` rows); a softmax layer turns it into language
 probabilities.  Both are trained together by stochastic gradient descent in numpy on at
-most ``PER_LANG`` labelled documents of each language, ``MAX_DOCS`` in all (those of the smallest id hash), a
-fifth of which is kept out to calibrate: a temperature is fitted to it, and a score
-below which a prediction counts as rejected.  Since mean and layer are both linear,
+most ``PER_LANG`` labelled documents of each of the ``MAX_LANGS`` commonest languages, ``MAX_DOCS`` in all (those of the
+smallest id hash), a fifth of which is kept out to calibrate: a temperature is fitted to it, and a score
+below which a prediction counts as rejected.  That score parts right predictions from wrong ones and from those of foreign
+text, as which the kept-out texts serve a second time, with their letters exchanged at random.  Since mean and layer are both linear,
 prediction adds rows of (embeddings @ layer), which is the same number for less work.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0, as is every
@@ -30,7 +31,6 @@ from quern.llm.common import crc_mod, map_pandas, table
 BUCKETS, DIM, NGRAMS, PIECE = 1 << 15, 16, (2, 3, 4), 1 << 19
 PER_LANG, MAX_LANGS, MAX_DOCS = 600, 400, 4000
 UND = "und"
-PRECISION = 0.98  # what accepted predictions reach on the calibration part
 
 
 def grams(data: np.ndarray) -> Iterator[np.ndarray]:
@@ -116,15 +116,32 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.5, seed:
         held = [(mean_rows(rows[i][0], model.rows) + bias, at[rows[i][1]]) for i in order[:cut]]
         loss = lambda t: -sum(math.log(softmax(z / t)[y] + 1e-12) for z, y in held)
         model.temperature = min((2.0 ** (k / 4) for k in range(-12, 17)), key=loss)
-        scored = sorted(((p := softmax(z / model.temperature)).max(), p.argmax() == y) for z, y in held)
-        right, model.least = 0, 1.0
-        for n, (s, ok) in enumerate(reversed(scored), 1):
-            right += ok
-            if right >= PRECISION * n:
-                model.least = float(s)
+        score = lambda z: softmax(z / model.temperature)
+        good = [p.max() for z, y in held if (p := score(z)).argmax() == y]
+        bad = [p.max() for z, y in held if (p := score(z)).argmax() != y]
+        bad += [score(mean_rows(foreign(rows[i][0], rng), model.rows) + bias).max() for i in order[:cut]]
+        model.least = best_cut(good, bad)
     return model
 
 
+def foreign(text: str, rng: np.random.Generator) -> str:
+    """The text in a language of its own: each letter stands for another."""
+    letters = sorted({c for c in text.lower() if c.isalpha()})
+    return text.lower().translate({ord(x): letters[i] for x, i in zip(letters, rng.permutation(len(letters)))})
+
+
+def best_cut(good: list[float], bad: list[float]) -> float:
+    """The score at which the shares of good ones from it on and of bad ones below it are largest together."""
+    if not good:
+        return 1.0
+    good, bad = np.sort(good), np.sort(bad)
+    at = np.unique(np.concatenate([good, bad, [0.0]]))
+    gain = 1 - np.searchsorted(good, at) / len(good) + np.searchsorted(bad, at) / max(1, len(bad))
+    i = int(gain.argmax())
+    below = bad[bad < at[i]]
+    return float((at[i] + (below[-1] if len(below) else 0.0)) / 2)  # halfway to the best of the bad ones
+
+
 def training_rows(docs: DataFrame, fold: int = 4, held: int = 2, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
     """At most per_lang labelled documents of each language outside the held-out fold."""
     seen = docs.where((crc_mod(F.col("doc_id"), fold) != held) & F.col("text").isNotNull() & F.col("lang").isNotNull())
