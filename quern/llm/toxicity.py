@@ -33,7 +33,10 @@ from quern.llm.common import crc_mod, table, with_columns
 
 MAX_POS, MAX_NEG, MAX_FEATURES = 1000, 2000, 1000
 WORDS_HELD = 100_000  # distinct words that a task holds before it turns them into trigrams
-RIDGE, STEPS, ALONE = 3e-5, 1200, 0.04
+RIDGE, STEPS = 3e-5, 1200
+#: A feature is a sign of label 1 if its log-likelihood ratio is over STRENGTH and its rate at least RATIO times that of label 0; a
+#: beginning gives way to a longer one that has LONGER of its texts; a sign in ALONE of the texts of label 1 is also learned by itself, COPIES times.
+STRENGTH, RATIO, LONGER, ALONE, COPIES = 15, 6, 0.95, 0.04, 8
 WORD = re.compile(r"[^\W\d_]+")
 #: What each sign imitates.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -233,19 +236,19 @@ def train(rows: list[tuple[str, int]], share: float | None = None, letters: Coun
     def strength(x: str) -> float:
         """Log-likelihood ratio of the feature, if it speaks for label 1 clearly."""
         a, b = df[1][x], df[0][x]
-        if a < least or a / n1 < 6 * (b + 0.5) / n0:
+        if a < least or a / n1 < RATIO * (b + 0.5) / n0:
             return 0.0
         p = (a + b) / (n1 + n0)
         return 2 * (a * np.log(a / n1 / p) + (b * np.log(b / n0 / p) if b else 0.0))
 
-    picked = sorted(((s, x) for x in df[1] if (s := strength(x)) > 15), key=lambda v: (-v[0], v[1]))[:MAX_FEATURES]
+    picked = sorted(((s, x) for x in df[1] if (s := strength(x)) > STRENGTH), key=lambda v: (-v[0], v[1]))[:MAX_FEATURES]
     # a beginning gives way to a longer one that stands in nearly all of its toxic texts
     longer = Counter()
     for _, x in picked:
         for k in range(4, min(7, len(x))):
             if x[0] != "=":
                 longer[x[:k]] = max(longer[x[:k]], df[1][x])
-    names = [x for _, x in picked if x[0] == "=" or longer[x] < 0.95 * df[1][x]]
+    names = [x for _, x in picked if x[0] == "=" or longer[x] < LONGER * df[1][x]]
     at = {x: i for i, x in enumerate(names)}
     # obfuscated words are mostly insults: their model is the corpus' words with the learned ones weighed up
     grams = Counter(letters or {})
@@ -275,7 +278,7 @@ def train(rows: list[tuple[str, int]], share: float | None = None, letters: Coun
     extra = np.zeros((len(alone), x.shape[1]))
     extra[range(len(alone)), alone] = 1
     extra[:, -1] = 1
-    extra = np.repeat(extra, 8, axis=0)
+    extra = np.repeat(extra, COPIES, axis=0)
     x, y = np.vstack([x, extra]), np.concatenate([y, np.ones(len(extra))])
     w = np.zeros(x.shape[1])
     reg = np.full(x.shape[1], RIDGE)
