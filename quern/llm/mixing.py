@@ -34,7 +34,7 @@ from quern.llm.common import ASCII_SPACE, discard, materialize, table
 MARGINS = ("__mix_source", "__mix_lang", "__mix_topic")
 ADDED = ("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_selected")
 MAX_CELLS, SWEEPS, CLOSE = 200_000, 200, 1e-9
-BUDGET, FLATTEN, CAP = 0.5, 0.5, 1e3
+BUDGET, FLATTEN, CAP, GRID = 0.5, 0.5, 1e3, 50
 OFF = 1e-6
 NONE = "(none)"
 
@@ -45,7 +45,7 @@ def count_tokens(text: Column) -> Column:
 
 
 def topic_of(text: Column, tokens: Column) -> Column:
-    """A plain topic by form, where the caller has none of its own."""
+    """The form of a text, which serves as its topic where the caller gives none (``mix`` takes any column)."""
     signs = F.length(text) - F.length(F.translate(text, "#$%&*", ""))
     return F.when(tokens == 0, "empty").when(text.contains(" | "), "table").when(signs * 20 > F.length(text), "noise").when(tokens < 100, "short").otherwise("prose")
 
@@ -57,22 +57,25 @@ def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
 
 
 def scale_for(kept_at, total: float) -> float:
-    """The factor on shares at which sum(min(available, factor * share)) is ``total``: by bisection."""
-    lo, hi = 0.0, 1.0
-    while kept_at(hi) < total * (1 - 1e-12) and hi < 1e30:
-        lo, hi = hi, 4 * hi
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if kept_at(mid) < total else (lo, mid)
+    """The factor on shares at which sum(min(available, factor * share)) is ``total``.  kept_at takes ``GRID`` factors at a
+    time, so that a table is summed a few times only: each time the interval shrinks to a ``GRID``-th."""
+    factors = [4.0 ** (k - 1) for k in range(GRID)]
+    lo = 0.0
+    for _ in range(10):
+        kept = kept_at(factors)
+        i = next((i for i, v in enumerate(kept) if v >= total * (1 - 1e-12)), len(kept) - 1)
+        lo, hi = factors[i - 1] if i else lo, factors[i]
         if hi - lo <= 1e-12 * hi:
             break
+        factors = [lo + (hi - lo) * k / GRID for k in range(1, GRID)] + [hi]
     return hi
 
 
 def targets_of(totals: dict[str, float], budget: float, flatten: float, given: dict[str, float] | None = None) -> dict[str, float]:
     """Tokens to keep of each value of a margin; none is asked for more than it has."""
     share = {k: (given.get(k, 0.0) if given is not None else float(t) ** flatten if t else 0.0) for k, t in totals.items()}
-    x = scale_for(lambda f: sum(min(totals[k], f * v) for k, v in share.items()), budget * sum(totals[k] for k in totals if share[k] or given is None))
+    have, part = np.array([float(totals[k]) for k in share]), np.array(list(share.values()), float)
+    x = scale_for(lambda fs: [float(np.minimum(have, f * part).sum()) for f in fs], budget * sum(totals[k] for k in totals if share[k] or given is None))
     return {k: min(float(totals[k]), x * v) for k, v in share.items()}
 
 
@@ -118,7 +121,8 @@ def rake_tables(cells: DataFrame, budget: float = BUDGET, flatten: float = FLATT
         t = t.withColumn("share", F.when(F.col("t") > 0, share).otherwise(0.0))
         t = materialize(t, "margin")
         asked = t.where("share > 0" if g is not None else "true").select(F.sum("t")).first()[0] or 0
-        x = scale_for(lambda f: t.select(F.sum(F.least(F.col("t").cast("double"), F.col("share") * f))).first()[0] or 0.0, budget * asked)  # noqa: B023
+        kept = lambda fs: [v or 0.0 for v in t.select(*[F.sum(F.least(F.col("t").cast("double"), F.col("share") * f)) for f in fs]).first()]  # noqa: B023, E731
+        x = scale_for(kept, budget * asked)
         want[m] = t.select(m, F.least(F.col("t").cast("double"), F.col("share") * x).alias("want"))
     p = F.least(F.lit(1.0), "weight")
     have_of = lambda m: cells.groupBy(m).agg(F.sum(F.col("tokens") * p).alias("have")).join(want[m], m)
