@@ -4,8 +4,11 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 columns of documents.  ``run`` writes each stage's result as Parquet in the shared folder and
 reads it again for the next one.
 
-SQL cannot express the trained score nor the raking, so ORACLE_SQL is None; the
-tests compare the stages with brute force.
+SQL cannot express the trained score nor the raking, so ORACLE_SQL is None; tests/llm/test_pipeline.py
+compares each stage with a brute-force version.
+
+Rows of a null doc_id are judged each by itself; nothing links to them.  Rows that repeat a doc_id are one document: they
+stay or go together, and of those with the same text one stays.
 """
 
 from __future__ import annotations
@@ -38,22 +41,29 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest doc_id stays."""
+    """Of each group of near copies, the document of the smallest doc_id stays (of its rows with equal texts, the least by
+    all columns)."""
     ship(spark)
     groups = component_ids(docs)
     gone = materialize(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     out = by_id(docs, gone, "left_anti").select(*[f"`{c}`" for c in docs.columns])
     n = docs.where("doc_id IS NOT NULL").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    if n["n"] > n["d"]:  # rows that repeat a doc_id are one group
-        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    if n["n"] > n["d"]:
+        row = F.struct(*[f"`{c}`" for c in docs.columns])
+        one = out.where("doc_id IS NOT NULL").groupBy("doc_id", F.sha2("text", 256)).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        out = one.unionByName(out.where("doc_id IS NULL"))
     return out
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     ship(spark)
-    leaking = materialize(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaking")
-    return by_id(docs, leaking.where("doc_id IS NOT NULL"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    items = table(spark, sf_dir, "benchmark")
+    clean = lambda d: by_id(d, materialize(contaminated(d, items).select("doc_id").distinct(), "leaking"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    out, lone = clean(docs.where("doc_id IS NOT NULL")), docs.where("doc_id IS NULL")
+    if not lone.isEmpty():  # rows without an id are told apart by their texts
+        out = out.unionByName(clean(lone.withColumn("doc_id", F.xxhash64("text"))).withColumn("doc_id", F.lit(None).cast("long")))
+    return out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -371,12 +371,24 @@ def outside(x: np.ndarray, hub: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, level_of(own, cells)))][: len(x) - -(-SIMILAR * len(x) // 100) + 1]
 
 
+MAP = ("m0", "m1", "m2", "m3")
+
+
+def bit_map(d: np.ndarray) -> np.ndarray:
+    """256 bits, four numbers: those at which tokens of d fall."""
+    bits = np.zeros(256, np.uint8)
+    bits[(d & np.uint64(255)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def group_pairs(docs: DataFrame, members: DataFrame, cells, components: DataFrame) -> DataFrame:
     """Pairs (a, b) of one hub that may link, across components.  members: a, b (a hub of it), a table.
 
     Entries of kind 0 and 1 are differences of documents that the hub holds for the most part (0.8), kind 2 what all of
-    them have outside the hub, for pairs with a document that it doesn't."""
-    columns = ["hub", "kind", "token", "earlier", "at", "a", "n", "nd", "nb", "linked"]
+    them have outside the hub, for pairs with a document that it doesn't.  A row of kind -1 for each member has a bit map of
+    all its differences: bits that only one of two maps has are differences that only one has, so the maps bound how many
+    two documents share, and only those that may share enough become pairs."""
+    columns = ["hub", "kind", "token", "earlier", "at", "a", "n", "nd", "nb", "linked", "held", *MAP]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -386,25 +398,30 @@ def group_pairs(docs: DataFrame, members: DataFrame, cells, components: DataFram
                 both, linked, entries = overlap(x, y), False, [x[:0]] * 2
                 held = 100 * both >= SIMILAR * len(x)
                 n_d, nb = len(x) + len(y) - 2 * both, len(x) - both
+                out.append(pd.DataFrame([(h, -1, 0, None, 0, a, 0, 0, 0, False, False, *bit_map(np.setxor1d(x, y, assume_unique=True)).tolist())], columns=columns))
                 if held:
                     linked, entries = differences(x, y, cells.value)
                 for kind, e in enumerate([*entries, outside(x, y, cells.value)]):
                     if len(e):
-                        out.append(pd.DataFrame({"hub": h, "kind": kind, "token": e.view(np.int64), "earlier": [e[:i].view(np.int64) for i in range(len(e))] if len(e) <= NAMED else [None] * len(e), "at": np.arange(len(e)), "a": a, "n": len(x), "nd": n_d, "nb": nb, "linked": linked, "held": held}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=[*columns, "held"])
+                        out.append(pd.DataFrame({"hub": h, "kind": kind, "token": e.view(np.int64), "earlier": [e[:i].view(np.int64) for i in range(len(e))] if len(e) <= NAMED else [None] * len(e), "at": np.arange(len(e)), "a": a, "n": len(x), "nd": n_d, "nb": nb, "linked": linked, "held": held, **dict.fromkeys(MAP, 0)}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=columns)
 
-    e = with_sets(docs, members).mapInPandas(run, "hub long, kind int, token long, earlier array<long>, at int, a long, n long, nd long, nb long, linked boolean, held boolean")
+    e = with_sets(docs, members).mapInPandas(run, "hub long, kind int, token long, earlier array<long>, at int, a long, n long, nd long, nb long, linked boolean, held boolean, m0 long, m1 long, m2 long, m3 long")
     e = materialize(e.join(components.withColumnRenamed("doc_id", "a"), "a", "left").withColumn("c", F.coalesce("component_id", "a")).drop("component_id"), "differences")
     # entries that meet another component; counted before they are dealt out
+    maps = e.where("kind < 0").select("hub", "a", *MAP)
+    e = e.drop(*MAP).where("kind >= 0")
     meets = e.groupBy("hub", "kind", "token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("held").alias("held")).where("lo < hi AND NOT (kind = 2 AND held)").select("hub", "kind", "token")
-    e = materialize(e.join(meets, ["hub", "kind", "token"]), "meeting")
-    x, y = (e.select("hub", "kind", "token", *[F.col(c).alias(f"{p}_{c}") for c in ("earlier", "at", "a", "n", "nd", "nb", "linked", "held", "c")]) for p in ("x", "y"))
+    e = materialize(e.join(meets, ["hub", "kind", "token"]).join(maps, ["hub", "a"]), "meeting")
+    x, y = (e.select("hub", "kind", "token", *[F.col(c).alias(f"{p}_{c}") for c in ("earlier", "at", "a", "n", "nd", "nb", "linked", "held", "c", *MAP)]) for p in ("x", "y"))
     # enough shared differences can still follow the first shared one: own tokens (nb of them) come before the hub's
     rest = "CASE WHEN x_at < x_nb THEN least(x_nb - x_at, y_nb - y_at) + least(x_nd - x_nb, y_nd - y_nb) ELSE least(x_nd - x_at, y_nd - y_at) END"
     may = f"(kind = 0 AND NOT x_linked AND x_a < y_a OR kind = 1 AND NOT x_linked AND y_linked) AND 18 * ({rest}) >= 9 * (x_nd + y_nd) - x_n - y_n"
     # and enough shared tokens outside the hub, of which each has n - nb inside
-    apart = f"kind = 2 AND NOT x_held AND (y_held OR x_a < y_a) AND 100 * (least(x_nb - x_at, y_nb - y_at) + least(x_n - x_nb, y_n - y_nb)) >= {SIMILAR} * greatest(x_n, y_n)"
+    apart = f"kind = 2 AND NOT x_held AND (y_held OR x_a < y_a) AND 9 * (least(x_nb - x_at, y_nb - y_at) + least(x_n - x_nb, y_n - y_nb)) >= 4 * (x_n + y_n)"
     may = f"x_c <> y_c AND 100 * least(x_n, y_n) >= {SIMILAR} * greatest(x_n, y_n) AND ({may} OR {apart})"
+    only = lambda p, q: " + ".join(f"bit_count({p}_{c} & ~{q}_{c})" for c in MAP)
+    may += f" AND 18 * least(x_nd - ({only('x', 'y')}), y_nd - ({only('y', 'x')})) >= 9 * (x_nd + y_nd) - x_n - y_n"
     # a pair comes up once, at its first shared entry (entries of long prefixes don't name the earlier ones: distinct() is left to do it)
     may += " AND coalesce(NOT arrays_overlap(x_earlier, y_earlier), true)"
     out = x.join(y, ["hub", "kind", "token"]).where(may).select(F.least("x_a", "y_a").alias("a"), F.greatest("x_a", "y_a").alias("b")).distinct()
