@@ -1,30 +1,38 @@
 """Secret scan: fixed rules, and a linear-chain conditional random field that adds spans.
 
 Rules give the base spans.  The CRF tags tokens O, B or I (outside, begin, inside a
-secret) from the token's shape, its neighbouring words and features of the file, and is
-decoded by Viterbi.  It is trained here, by stochastic gradient ascent on the conditional
-likelihood, from at most ``TRAIN_DOCS`` documents, half of them with a secret as far as there are any
-(those of the smallest id hash), in which the rules label the tokens; each secret is learned as it is and once more with random letters and
-digits in its place, so that other alphabets are known too.  Tokens that look random but that no rule covers are left out
-of training (they may be unknown secrets), so shape alone can carry a decision elsewhere.
+secret) from the token's shape (among it how unlike the corpus' words its letters follow each other), its
+neighbouring words and features of the file, and is decoded by Viterbi.  It is trained here, by
+stochastic gradient ascent on the conditional likelihood, from at most ``TRAIN_DOCS`` documents, half of them
+with a secret as far as there are any (those of the smallest id hash):
+
+* secrets that the rules find, as they are and once more with random letters and digits in their place;
+* random secrets of many alphabets and lengths, with and without a vendor's prefix, planted into plain stretches of
+  the texts by ``SECRET_FORMS``: beside a telling word, beside another one than the rules know, or beside none;
+* what looks much like a secret and is none (identifiers, versions, addresses, dates, file names, talk of
+  passwords), planted by ``HARMLESS_FORMS``, and plain stretches, all learned as O;
+* stretches where a first model finds secrets that neither rules nor planting put there, learned as O as well.
+
+Tokens of the texts that look random but that no rule covers are left out of training: they may be unknown secrets.
 
 The CRF tags all tokens of every text.  A token's score depends on the classes of its neighbours, so
 scores are looked up for whole texts at once, and Viterbi runs where a bound on the gain of any
-span leaves the tag open: all others are O in the best sequence.  Training is on windows around
-secrets and seeds (runs of 16 or more key characters with a digit and a letter), on one plain stretch of
-each text, and on the stretches where a first model finds secrets that the rules do not.  Only spans disjoint from all base
+span leaves the tag open: all others are O in the best sequence.  Only spans disjoint from all base
 spans are added, so base spans stay as they are.
 
 Defined cases: null text is empty; an empty text has no spans; repeated rows are scanned
-each for itself; an empty table, or one without any secret to learn from, gives base spans
+each for itself; a table without any text to learn from gives base spans
 alone; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_pandas, table
+from quern.llm.common import discard, map_pandas, materialize, table
 
 TRAIN_DOCS = 3000
 KINDS = ["assign", "access", "hex", "crf"]
@@ -45,12 +53,28 @@ ANY_RULE = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 SEED = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 ALNUM = re.compile(r"[A-Za-z0-9]*")
-CONTEXT = 48  # characters on either side of a seed
+CONTEXT = 48  # characters on either side of a seed or of what is planted
 PLAIN = 200  # characters of a plain stretch
-PIECE, TOKENS_HELD = 1 << 20, 200_000  # characters turned into tokens at once; distinct tokens remembered
-WORDS = {"password", "passwd", "secret", "token", "key", "apikey", "api", "bearer", "auth", "authorization", "credential", "private", "access", "pwd", "license", "sha", "md5", "commit", "id", "uuid"}
+PIECE, TOKENS_HELD = 1 << 20, 400_000  # characters turned into tokens at once; distinct tokens remembered
+#: Words that tell something of what follows them.
+WORDS = {
+    "password", "passwd", "pwd", "pass", "passphrase", "passcode", "pw", "pin", "secret", "token", "key", "apikey", "api", "bearer", "basic", "auth", "authorization", "credential", "credentials",
+    "login", "private", "access", "client", "session", "cookie", "license", "is", "sha", "md5", "commit", "id", "uuid", "version", "order", "ref", "file", "http", "https", "www",
+}
+#: How secrets are written; v is the secret, w a word of ``CUES``.  Those without w say nothing of it.
+SECRET_FORMS = ["{w} = {v}", "{w}: {v}", '{w}="{v}"', "my {w} is {v}", "the {w} is {v} now", "{w} {v}", "Authorization: Bearer {v}", "--{w} {v}", "export {w}={v};", "https://user:{v}@host.example/", "{v}", "({v})", "'{v}'"]
+CUES = ["password", "passwd", "pwd", "pass", "passphrase", "passcode", "pw", "secret", "token", "key", "api key", "API_KEY", "auth", "credential", "login", "private key", "access key", "client_secret", "session", "Pwd", "KEY"]
+#: Harmless neighbours of secrets.  h, d, l, u: a hex digit, digit, small or capital letter; W a word of the text, C one with a capital.
+HARMLESS_FORMS = [
+    "hhhhhhhh-hhhh-hhhh-hhhh-hhhhhhhhhhhh", "id hhhhhhhh-hhhh-hhhh-hhhh-hhhhhhhhhhhh", "commit hhhhhhh", "commit hhhhhhhhhhhh", "md5 hhhhhhhh", "uu-dddd-dd", "order uudddddd", "ref: uuu/dddd/dd", "version d.dd.d-beta.d", "vd.d.dd",
+    "IMG_dddddddd_dddddd.jpg", "https://www.example.com/W/ddd/W?W=dd", "W.dd@mail.example.com", "dddd-dd-ddTdd:dd:ddZ", "dddd-dd-dd", "ISBN ddd-d-dd-dddddd-d", "+dd ddd ddddddd", "dddd dddd dddd dddd", "dd.ddd.d.dd", "W_W_W", "WWW", "W-W-W",
+    "the key is W", "the key to W is W", "a password is W W", "my password is W", "token W", "the secret of W", "the token is W", "login W", "key: W", "secret: W W", "W's password", "pass W", "WCC", "CCC", "CC", "CCCC.java", "W = W", "W: W", "file W.txt", "Wdd", "udd:udd", "$dddd.dd", "d,ddd,ddd", "dddddddd", "id dddddddddd", "Wld", "W!!!",
+]
+ALPHABETS = ["0123456789abcdef", "BASE62", "BASE62", "BASE62-_", "BASE62+/", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "BASE62!$%&*"]
+CUED, ALONE_FROM = (8, 48), 16  # lengths of secrets; least length of one beside no telling word
+PLANTED = 2000  # secrets, and as many harmless forms, planted into the texts
 O, B, I = 0, 1, 2
-DIM = 1 << 12
+DIM, BATCH, RIDGE = 1 << 13, 64, 1e-5
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,19 +110,60 @@ def windows(text: str, values: list[tuple[int, int]] = []) -> list[tuple[int, in
 
 
 def _entropy(s: str) -> float:
-    s = s[:256]
-    return -sum(p * math.log2(p) for p in (s.count(c) / len(s) for c in set(s)))
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
+
+
+class Letters:
+    """How letters follow each other in the words of texts: the mean cost of a token's letter pairs."""
+
+    def __init__(self, texts: list[str]):
+        pairs = Counter(p for t in texts for w in re.findall(r"(?<![a-z0-9])[a-z]+(?![a-z0-9])", t.lower()) for p in zip(" " + w, w + " "))
+        first = Counter()
+        for (x, _), n in pairs.items():
+            first[x] += n
+        every = "abcdefghijklmnopqrstuvwxyz"
+        self.cost = {x + y: -math.log2((pairs[x, y] + 1) / (first[x] + 27)) for x in every for y in every}
+
+    def strange(self, low: str) -> float:
+        """Bits a pair, of the pairs of letters that stand together in a lower-cased token."""
+        found = [self.cost[p] for p in map("".join, zip(low, low[1:])) if p in self.cost]
+        return sum(found) / len(found) if found else 0.0
 
 
-def _shape(t: str) -> list[str]:
+LENGTHS = (2, 3, 4, 6, 8, 12, 16, 24, 40)
+Kind = str | tuple[int, ...]
+
+
+def kind_of(t: str, letters: Letters) -> Kind:
+    """What a token is like by itself; longer ones are ASCII letters and digits."""
     if len(t) == 1 and not t.isalnum():
-        return [f"sym={t}"]
-    d, up, lo = sum(c.isdigit() for c in t[:256]), any(c.isupper() for c in t), any(c.islower() for c in t)
-    mixed = f"{int(d > 0)}{int(up)}{int(lo)}"
-    n = min(6, len(t).bit_length())
-    out = [f"len={n}", f"mix={mixed}", f"len+mix={n}{mixed}"]
+        return t
+    n, low = bisect.bisect(LENGTHS, len(t)), t.lower()
+    digits = 0 if t.isalpha() else sum(c.isdigit() for c in t)
+    up, lo = t != low, t != t.upper()
+    turns = 0
+    if digits or up and lo and t[1:] != low[1:]:
+        turns = min(4, sum((x.isdigit() != y.isdigit()) or (x.islower() and y.isupper()) for x, y in zip(t, t[1:])))
+    odd = min(9, int(letters.strange(low))) if len(t) >= 6 else -1
+    ent, dig, hexed = -1, -1, -1
     if len(t) >= 8:
-        out += [f"ent={int(2 * _entropy(t))}", f"dig={int(8 * d / min(256, len(t)))}", f"hex={int(bool(re.fullmatch('[0-9a-f]+', t)))}{mixed}"]
+        hexed = int(bool(re.fullmatch("[0-9a-f]+", t)))
+        if digits:
+            ent, dig = int(2 * _entropy(t)), 8 * digits // len(t)
+    return n, int(digits > 0), int(up), int(lo), turns, odd, ent, dig, hexed
+
+
+def shape(kind: Kind) -> list[str]:
+    """Features of such a token; the first two describe it to its neighbours."""
+    if isinstance(kind, str):
+        return [f"sym={kind}"]
+    n, d, up, lo, turns, odd, ent, dig, hexed = kind
+    mixed = f"{d}{up}{lo}"
+    out = [f"len={n}", f"mix={mixed}", f"len+mix={n}{mixed}", f"turns={turns}{int(n > 4)}", f"turns+mix={turns}{mixed}"]
+    if odd >= 0:
+        out += [f"odd={odd}", f"odd+mix={odd}{mixed}", f"odd+len={odd}{n}"]
+    if hexed >= 0:
+        out += [f"hex={hexed}{mixed}", f"ent={ent}", f"dig={dig}"]
     return out
 
 
@@ -116,17 +181,29 @@ def _id(f: str) -> int:
     return _IDS[f]
 
 
-def features(tokens: list[str], file: list[str]) -> list[list[int]]:
-    own = [_shape(t) for t in tokens]
+BESIDE = (-2, -1, 1, 2)
+
+
+@functools.cache
+def _own(kind: Kind) -> list[int]:
+    return [_id(x) for x in shape(kind)]
+
+
+@functools.cache
+def _beside(kind: Kind | None, k: int) -> list[int]:
+    return [_id(f"{k}:{x}") for x in (shape(kind)[:2] if kind is not None else ["edge"])]
+
+
+def features(tokens: list[str], file: list[str], letters: Letters) -> list[list[int]]:
+    own = [kind_of(t, letters) for t in tokens]
     words = [t.lower() if t.lower() in WORDS else "" for t in tokens]
-    out = []
-    for i, s in enumerate(own):
-        f = ["bias", *s, *file]
-        for k in (-2, -1, 1):
-            j = i + k
-            f += [f"{k}:{x}" for x in (own[j][:2] if 0 <= j < len(own) else ["edge"])]
-        f += sorted({f"near={w}" for w in words[max(0, i - 5) : i] if w})
-        out.append([_id(x) for x in f])
+    always, out = [_id(x) for x in ["bias", *file]], []
+    for i, kind in enumerate(own):
+        f = [*always, *_own(kind)]
+        for k in BESIDE:
+            f += _beside(own[i + k] if 0 <= i + k < len(own) else None, k)
+        f += [_id(f"near={w}") for w in sorted(set(words[max(0, i - 5) : i])) if w]
+        out.append(f)
     return out
 
 
@@ -172,23 +249,27 @@ class Tables:
     """Scores of whole texts: each class of tokens (shape and telling word) has what it adds to its own
     token and to those beside it."""
 
-    def __init__(self, w: np.ndarray):
-        self.w, self.known, self.classes = w, {}, {}
-        self.rows: dict[int, list[np.ndarray]] = {k: [] for k in (0, -2, -1, 1)}
+    def __init__(self, w: np.ndarray, letters: Letters):
+        self.w, self.letters, self.known, self.classes, self.sums = w, letters, {}, {}, {}
+        self.rows: dict[int, list[np.ndarray]] = {k: [] for k in (0, *BESIDE)}
         self.words: list[str] = []
         self.packed: dict[int, np.ndarray] = {}
 
     def _sum(self, names: list[str]) -> np.ndarray:
-        return self.w[[_id(x) for x in names]].sum(0)
+        key = tuple(names)
+        if key not in self.sums:
+            self.sums[key] = self.w[[_id(x) for x in names]].sum(0)
+        return self.sums[key]
 
     def _class(self, token: str) -> int:
-        shape, word = _shape(token), token.lower() if token.lower() in WORDS else ""
-        key = (*shape, word)
+        kind, low = kind_of(token, self.letters), token.lower()
+        word = low if low in WORDS else ""
+        key = (kind, word)
         if key not in self.classes:
             self.classes[key] = len(self.classes)
-            self.rows[0].append(self._sum(shape))
-            for k in (-2, -1, 1):
-                self.rows[k].append(self._sum([f"{k}:{x}" for x in shape[:2]]))
+            self.rows[0].append(self.w[_own(kind)].sum(0))
+            for k in BESIDE:
+                self.rows[k].append(self.w[_beside(kind, k)].sum(0))
             self.words.append(word)
             self.packed = {}
         return self.classes[key]
@@ -216,11 +297,11 @@ class Tables:
             self.packed = {k: np.array(v) for k, v in self.rows.items()}
             self.telling = np.array([bool(x) for x in self.words])
         e = self.packed[0][c] + self._sum(["bias", *file_features(text)])
-        for k in (-2, -1):
-            e[-k:] += self.packed[k][c[:k]]
-            e[:-k] += self._sum([f"{k}:edge"])
-        e[:-1] += self.packed[1][c[1:]]
-        e[-1] += self._sum(["1:edge"])
+        for k in (1, 2):
+            e[k:] += self.packed[-k][c[:-k]]
+            e[:k] += self._sum([f"{-k}:edge"])
+            e[:-k] += self.packed[k][c[k:]]
+            e[-k:] += self._sum([f"{k}:edge"])
         near = {(i, self.words[c[p]]) for p in np.flatnonzero(self.telling[c]).tolist() for i in range(p + 1, min(len(c), p + 6))}
         for i, word in sorted(near):
             e[i] += self._sum([f"near={word}"])
@@ -233,34 +314,62 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class Crf:
-    def __init__(self) -> None:
-        self.w, self.t = np.zeros((DIM, 3)), np.zeros((3, 3))
+    def __init__(self, letters: Letters) -> None:
+        self.w, self.t, self.letters = np.zeros((DIM, 3)), np.zeros((3, 3)), letters
         self.t[O, I] = -1e4  # I follows B or I only
+        self.gw, self.gt = np.full((DIM, 3), 1e-2), np.full((3, 3), 1.0)  # squares of past gradients
         self._tables: Tables | None = None
 
-    def step(self, feats: list[list[int]], tags: list[int], rate: float) -> None:
-        """One ascent step on the log-likelihood of one sequence."""
-        e, n = _emit(self.w, feats), len(feats)
-        e[0, I] -= 1e4
-        a, b = np.zeros((n, 3)), np.zeros((n, 3))
-        a[0] = e[0]
-        for i in range(1, n):
-            a[i] = _lse(a[i - 1][:, None] + self.t, 0) + e[i]
-        for i in range(n - 2, -1, -1):
-            b[i] = _lse(self.t + (e[i + 1] + b[i + 1])[None, :], 1)
-        z = _lse(a[-1], 0)
-        node = np.exp(a + b - z)
-        for i, f in enumerate(feats):
-            g = -node[i]
-            g[tags[i]] += 1
-            self.w[f] += rate * g
-        if n > 1:
-            edge = np.exp(a[:-1, :, None] + self.t + (e[1:] + b[1:])[:, None, :] - z).sum(0)
-            got = np.zeros((3, 3))
-            np.add.at(got, (tags[:-1], tags[1:]), 1)
-            self.t += rate * (got - edge)
-            self.t[O, I] = -1e4
-        self.w *= 1 - rate * 1e-4
+    def gradient(self, batch: list[tuple[list[list[int]], list[int]]]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the log-likelihood of some sequences, by weights and transitions; and the log-likelihood."""
+        size, longest = len(batch), max(len(f) for f, _ in batch)
+        n = np.array([len(f) for f, _ in batch])
+        flat = [x for f, _ in batch for x in f]
+        ids = np.concatenate([np.array(x) for x in flat])
+        owner = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
+        emit = np.stack([np.bincount(owner, self.w[ids, k], len(flat)) for k in range(3)], 1)
+        seq, pos = np.repeat(np.arange(size), n), np.concatenate([np.arange(k) for k in n])
+        tags = np.zeros((size, longest), int)
+        tags[seq, pos] = np.concatenate([t for _, t in batch])
+        e = np.zeros((size, longest, 3))
+        e[seq, pos] = emit
+        e[:, 0, I] -= 1e4
+        on = np.arange(longest)[None, :] < n[:, None]
+        a, b = np.zeros_like(e), np.zeros_like(e)
+        a[:, 0] = e[:, 0]
+        for i in range(1, longest):
+            a[:, i] = np.where(on[:, i, None], _lse(a[:, i - 1, :, None] + self.t, 1) + e[:, i], a[:, i - 1])
+        for i in range(longest - 2, -1, -1):
+            b[:, i] = np.where(on[:, i + 1, None], _lse(self.t + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2), 0)
+        z = _lse(a[:, -1], 1)
+        node = np.exp(a + b - z[:, None, None])
+        g = (np.eye(3)[tags] - node)[seq, pos]
+        gw = np.stack([np.bincount(ids, g[owner, k], DIM) for k in range(3)], 1)
+        step = on[:, 1:, None, None]
+        edge = np.where(step, np.exp(np.minimum(0, a[:, :-1, :, None] + self.t + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None])), 0).sum((0, 1))
+        got = np.zeros((3, 3))
+        np.add.at(got, (tags[:, :-1][on[:, 1:]], tags[:, 1:][on[:, 1:]]), 1)
+        path = e[seq, pos, tags[seq, pos]].sum() + (got * self.t).sum()
+        return gw, got - edge, float(path - z.sum())
+
+    def step(self, batch: list[tuple[list[list[int]], list[int]]], rate: float) -> None:
+        """One ascent step, each weight at its own rate (the root of its past gradients' squares)."""
+        gw, gt, _ = self.gradient(batch)
+        gw = gw / len(batch) - RIDGE * self.w
+        gt = gt / len(batch)
+        self.gw += gw**2
+        self.gt += gt**2
+        self.w += rate * gw / np.sqrt(self.gw)
+        self.t += rate * gt / np.sqrt(self.gt)
+        self.t[O, I] = -1e4
+
+    def fit(self, data: list[tuple[list[list[int]], list[int]]], epochs: int, rate: float, rng: np.random.Generator) -> None:
+        for _ in range(epochs):
+            order = rng.permutation(len(data))
+            order = order[np.argsort([len(data[i][0]) // 8 for i in order], kind="stable")]  # sequences of like length together
+            parts = [order[i : i + BATCH] for i in range(0, len(order), BATCH)]
+            for p in rng.permutation(len(parts)):
+                self.step([data[i] for i in parts[p]], rate)
 
     def tag(self, feats: list[list[int]]) -> list[int]:
         return viterbi(_emit(self.w, feats), self.t)
@@ -268,12 +377,12 @@ class Crf:
     def tag_text(self, text: str) -> np.ndarray:
         """Tags of all tokens of a text."""
         if self._tables is None:
-            self._tables = Tables(self.w)
+            self._tables = Tables(self.w, self.letters)
         e = self._tables.emit(text)
         return decode(e, self.t) if len(e) else np.zeros(0, np.int8)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_tables": None}
+        return {**self.__dict__, "_tables": None, "gw": None, "gt": None}
 
 
 def respelled(text: str, values: list[tuple[int, int]], rng: np.random.Generator) -> str:
@@ -286,61 +395,103 @@ def respelled(text: str, values: list[tuple[int, int]], rng: np.random.Generator
     return "".join(out)
 
 
-def examples(text: str, values: list[tuple[int, int]]) -> list[tuple[list[list[int]], list[int]]]:
+def tagged(text: str, lo: int, hi: int, values: list[tuple[int, int]], letters: Letters) -> list[tuple[list[list[int]], list[int]]]:
+    """The stretch as an example: tokens inside the values are secret."""
+    tokens, tags = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, lo, hi)], []
+    for _, a, b in tokens:
+        if not any(x <= a and b <= y for x, y in values):
+            tags.append(O)
+        else:
+            tags.append(I if tags and tags[-1] != O and not any(x == a for x, _ in values) else B)
+    return [(features([t for t, *_ in tokens], file_features(text), letters), tags)] if tokens else []
+
+
+def examples(text: str, values: list[tuple[int, int]], letters: Letters) -> list[tuple[list[list[int]], list[int]]]:
     """Windows that the values label in full."""
-    file, out = file_features(text), []
-    inside = lambda a, b: any(x <= a and b <= y for x, y in values)
+    out = []
     for lo, hi in windows(text, values):
         if any(_random_like(m[0]) and not any(x < lo + m.end() and lo + m.start() < y for x, y in values) for m in SEED.finditer(text[lo:hi])):
             continue
-        tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, lo, hi)]
-        tags = []
-        for _, a, b in tokens:
-            if not inside(a, b):
-                tags.append(O)
-            else:
-                tags.append(I if tags and tags[-1] != O and not any(x == a for x, _ in values) else B)
-        if tokens:
-            out.append((features([t for t, *_ in tokens], file), tags))
+        out += tagged(text, lo, hi, values, letters)
     return out
 
 
-def train(texts: list[str], epochs: int = 4, rate: float = 0.05, seed: int = 7) -> Crf | None:
+def random_secret(rng: np.random.Generator, alone: bool) -> str:
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    chars = pick(ALPHABETS).replace("BASE62", BASE62)
+    if alone and not any(c.isdigit() for c in chars):
+        chars = BASE62
+    n = int(rng.integers(ALONE_FROM if alone else CUED[0], CUED[1] + 1))
+    v = "".join(pick(chars) for _ in range(n))
+    v = v if v[0].isalnum() and v[-1].isalnum() else f"a{v[1:-1]}7"
+    if rng.random() < 0.25:  # a vendor's prefix
+        v = "".join(pick("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.integers(2, 6))) + pick("_-") + v
+    return v
+
+
+def plant(text: str, rng: np.random.Generator, secret: bool) -> tuple[str, int, int, list[tuple[int, int]]] | None:
+    """A plain stretch of the text with a secret or a harmless form in it: (text, from, to, values)."""
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    at = int(rng.integers(max(1, len(text))))
+    lo, hi = max(0, at - CONTEXT), min(len(text), at + CONTEXT)
+    near = text[lo:hi]
+    if _values(near) or windows(near):
+        return None
+    words = re.findall(r"[^\W\d_]{2,}", near) or ["word"]
+    gap = near.find(" ", at - lo)
+    gap = gap if gap >= 0 else len(near)
+    if secret:
+        form = pick(SECRET_FORMS)
+        v = random_secret(rng, "{w}" not in form and "Bearer" not in form and "@" not in form)
+        before, after = form.replace("{w}", pick(CUES)).split("{v}")
+        a = gap + 1 + len(before)
+        out, values = f"{near[:gap]} {before}{v}{after} {near[gap:]}", [(a, a + len(v))]
+    else:
+        kinds = {"h": "0123456789abcdef", "d": "0123456789", "l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+        form = pick(HARMLESS_FORMS)
+        # (runs of a kind's letter that stand for themselves are whole words: left as they are)
+        made = re.sub(r"(?<![a-z])[hdlu]+(?![a-z])|(?<=v)d|W|(?<!IS)C", lambda m: pick(words) if m[0] == "W" else pick(words).title() if m[0] == "C" else "".join(pick(kinds[c]) for c in m[0]), form)
+        out, values = f"{near[:gap]} {made} {near[gap:]}", []
+    return out, 0, len(out), values
+
+
+def train(texts: list[str], epochs: int = 4, rate: float = 0.3, seed: int = 7) -> Crf | None:
     rng = np.random.default_rng(seed)
+    carriers = [t for t in texts if t.strip()]
+    if not carriers:
+        return None
+    model = Crf(Letters(carriers))
     data = []
     for t in texts:
         values = _values(t)
-        data += examples(t, values)
+        data += examples(t, values, model.letters)
         if values:
-            data += examples(respelled(t, values, rng), values)
+            data += examples(respelled(t, values, rng), values, model.letters)
+    for i in range(PLANTED):
+        for secret in (True, False):
+            if made := plant(carriers[i % len(carriers)], rng, secret):
+                data += tagged(*made, model.letters)
     # plain stretches, so that ordinary words are seen as O in every neighbourhood
-    for t in texts:
+    for t in carriers:
         at = int(rng.integers(max(1, len(t) - PLAIN)))
-        data += plain(t, at, at + PLAIN)
-    if not any(B in tags for _, tags in data):
-        return None
-    model = Crf()
-    for e in range(epochs):
-        for i in rng.permutation(len(data)):
-            model.step(*data[i], rate / (1 + e))
+        data += plain(t, at, at + PLAIN, model.letters)
+    model.fit(data, epochs, rate, rng)
     # what is found apart from the rules' secrets is learned as O, unless it looks random
-    wrong = [x for t in texts for a, b in crf_spans(t, model) if not any(x < b and a < y for x, y in _values(t)) for x in plain(t, a - CONTEXT, b + CONTEXT)]
+    wrong = [x for t in texts for a, b in crf_spans(t, model) if not any(x < b and a < y for x, y in _values(t)) for x in plain(t, a - CONTEXT, b + CONTEXT, model.letters)]
     if wrong:
-        data += [wrong[i] for i in rng.permutation(len(wrong))[: len(data)]]
-        for i in rng.permutation(len(data)):
-            model.step(*data[i], rate / 2)
+        model.fit(data + [wrong[i] for i in rng.permutation(len(wrong))[: len(data)]], 2, rate, rng)
     model._tables = None  # of the weights before
     return model
 
 
-def plain(text: str, lo: int, hi: int) -> list[tuple[list[list[int]], list[int]]]:
+def plain(text: str, lo: int, hi: int, letters: Letters) -> list[tuple[list[list[int]], list[int]]]:
     """The stretch as an example of O throughout, if it holds no secret and nothing that may be one."""
     lo, hi = max(0, lo), min(len(text), hi)
     near = text[max(0, lo - CONTEXT) : hi + CONTEXT]
     tokens = [m[0] for m in TOKEN.finditer(text, lo, hi)]
     if not tokens or _values(near) or windows(near) or any(len(t) >= 8 and _random_like(t) for t in tokens):
         return []
-    return [(features(tokens, file_features(text)), [O] * len(tokens))]
+    return [(features(tokens, file_features(text), letters), [O] * len(tokens))]
 
 
 def crf_spans(text: str, model: Crf) -> list[tuple[int, int]]:
@@ -362,13 +513,17 @@ def all_spans(text: str, model: Crf | None) -> list[tuple[int, int, int]]:
 
 
 def training_texts(docs: DataFrame, bound: int = TRAIN_DOCS) -> list[str]:
-    """Texts with a secret and texts without, half of ``bound`` each at most (those of the smallest id hash)."""
-    d = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("text").rlike(ANY_RULE).alias("has"))
+    """Texts with a secret and texts without, half of ``bound`` each at most (those of the smallest id hash).  The rules
+    look at every text once; the texts themselves are fetched by id."""
+    d = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    has = materialize(d.select("doc_id", F.col("text").rlike(ANY_RULE).alias("has")), "has-secret")
     h, half = F.xxhash64("doc_id"), bound // 2
-    first = lambda has: d.where(F.col("has") == has).select("doc_id", "has").orderBy(h, "doc_id").limit(half)
-    rows = d.join(F.broadcast(first(True).unionByName(first(False)).distinct()), ["doc_id", "has"]).select("doc_id", "text", "has").collect()  # ids: `bound` rows
-    rows = sorted((r["doc_id"], r["text"], r["has"]) for r in rows)
-    return [t for has in (True, False) for t in [t for _, t, x in rows if x == has][:half]]
+    first = lambda x: has.where(F.col("has") == x).select("doc_id").distinct().orderBy(h, "doc_id").limit(half)
+    ids = first(True).unionByName(first(False)).distinct()  # `bound` rows
+    rows = sorted({(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()})
+    discard(has)
+    with_secret = [bool(re.search(ANY_RULE, t, re.A)) for _, t in rows]
+    return [t for x in (True, False) for t in [t for (_, t), y in zip(rows, with_secret) if x == y][:half]]
 
 
 def find_secrets(docs: DataFrame, model: Crf | None) -> DataFrame:
