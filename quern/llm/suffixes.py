@@ -12,15 +12,18 @@ document of a smaller doc_id.  Corpora don't fit one buffer, so:
 
 1. Documents are packed into blocks of about ``BLOCK`` bytes, a table in the shared folder.
 2. A window's key is the smallest hash of the k-grams in it, so equal windows have equal keys, and about one
-   position in 16 starts a new key.  Each block sends its distinct keys, 6 bytes each, to
+   position in 16 starts a new key.  Each block sends its distinct keys and how often it has them, 7 bytes each, to
    the key's bucket, which tells it those that other documents have as well.
 3. Runs of windows with such a key are cut out as fragments.  Each block sends its distinct
-   fragments with their smallest doc_id to the key's bucket.  There, equal fragments are merged, the
+   fragments with their smallest doc_id to the key's bucket.  A key of more than ``HOT`` runs (a common phrase in ever new
+   surroundings) would fill one bucket: its windows are sent one by one, each to the bucket of its own hash.
+   In the bucket, equal fragments are merged, the
    rest are suffix sorted, and every window gets the smallest doc_id that holds it.
 4. Blocks mark the bytes of windows whose smallest doc_id is below their document's.
 
 A bucket gets each key or fragment once from each block, so a passage in a third of all documents
-costs no more than a line in every block, and its copies never meet in one task.
+costs no more than a line in every block, and its copies never meet in one task.  No more than ``SORT_BYTES`` and the
+fragments of one key that is not hot are sorted at a time.
 
 Defined cases: null text is empty; documents shorter than the window stay whole; a null doc_id
 is neither smaller nor greater than any other, so such documents stay whole and remove
@@ -43,7 +46,8 @@ from quern.llm.shingles import prefix_sums, range_hashes
 
 BLOCK, BUCKET_BYTES, SORT_BYTES = 2 << 20, 8 << 20, 2 << 20
 V, COVER = 13, (0, 1, 3, 9)
-SORT_AT_ONCE = 1 << 20
+SORT_AT_ONCE = 1 << 18
+HOT = 4096
 NO_ID = -(2**63)  # stands for a null doc_id inside blocks
 
 #: SHIFT[a, b]: how far to go from remainders a and b for both to be in the cover.
@@ -181,35 +185,48 @@ class Block:
         none = np.zeros(0, np.int64)
         self.key, self.doc, self.first, self.end = (np.concatenate(x) for x in zip(*parts)) if parts else (none.astype(np.uint64), none, none, none)
 
-    def distinct_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys, and whether several documents of the block have them."""
+    def distinct_keys(self) -> np.ndarray:
+        """Keys, each with whether several documents of the block have it and the logarithm of its runs (``told_apart``)."""
         order = np.lexsort((self.ids[self.doc], self.key))
         k, d = self.key[order], self.ids[self.doc[order]]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(k)) - 1
-        return k[at], d[at] != d[last] if len(at) else np.zeros(0, bool)
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, int)
+        end = np.append(at[1:], len(k))[: len(at)]
+        runs = np.frexp((end - at).astype(float))[1] - 1
+        return k[at] << np.uint64(6) | (runs << 1 | (d[at] != d[end - 1])).astype(np.uint64)
 
     def fragments(self, repeated: np.ndarray, buckets: int) -> dict[int, tuple[list[bytes], np.ndarray, np.ndarray]]:
-        """By bucket: distinct fragments with a repeated key, the smallest doc_id of each, and
-        (run, fragment) of all their occurrences.  The same for the same block, whenever made."""
+        """By bucket: distinct fragments with a repeated key, the smallest doc_id of each, and the
+        (start, document, fragment) of all their occurrences.  repeated: keys, the lowest bit tells the hot ones.
+        The same for the same block, whenever made."""
         if not len(repeated):
             return {}
-        spot = np.minimum(np.searchsorted(repeated, self.key), len(repeated) - 1)
-        runs = np.flatnonzero(repeated[spot] == self.key)
+        keys = repeated >> np.uint64(1)
+        spot = np.minimum(np.searchsorted(keys, self.key), len(keys) - 1)
+        is_hot = (repeated[spot] & np.uint64(1)) == 1
+        runs, hot = (np.flatnonzero((keys[spot] == self.key) & x) for x in (~is_hot, is_hot))
+        n = self.end[hot] - self.first[hot]
+        single = np.repeat(self.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())  # windows of hot keys
+        first, end = np.concatenate([self.first[runs], single]), np.concatenate([self.end[runs], single + 1])
+        doc = np.concatenate([self.doc[runs], np.repeat(self.doc[hot], n)])
+        own = range_hashes(prefix_sums(self.data), single, single + self.length) if len(single) else self.key[:0]
+        where = (np.concatenate([self.key[runs], own]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
         raw, out = self.data.tobytes(), {}
-        where = (self.key[runs] % np.uint64(buckets)).astype(np.int64)
-        for b in np.unique(where):
-            mine = runs[where == b]
-            known: dict[bytes, int] = {}
-            number = np.array([known.setdefault(raw[s : e + self.length - 1], len(known)) for s, e in zip(self.first[mine].tolist(), self.end[mine].tolist())], np.int64)
-            low = np.full(len(known), 2**63 - 1, np.int64)
-            np.minimum.at(low, number, self.ids[self.doc[mine]])
-            out[int(b)] = (list(known), low, np.stack([mine, number]))
+        for mine in np.split(order, np.flatnonzero(np.diff(where[order])) + 1):
+            if len(mine):
+                known: dict[bytes, int] = {}
+                number = np.array([known.setdefault(raw[s : e + self.length - 1], len(known)) for s, e in zip(first[mine].tolist(), end[mine].tolist())], np.int64)
+                low = np.full(len(known), 2**63 - 1, np.int64)
+                np.minimum.at(low, number, self.ids[doc[mine]])
+                out[int(where[mine[0]])] = (list(known), low, np.stack([first[mine], doc[mine], number]))
         return out
 
 
+def told_apart(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, how many runs each has at least, and whether they are of several documents."""
+    return sent >> np.uint64(6), np.int64(1) << (sent >> np.uint64(1) & np.uint64(31)).astype(np.int64), (sent & np.uint64(1)) == 1
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """block, n_bytes, ids, lens, data of the documents in blocks."""
 
@@ -297,7 +314,7 @@ def _settle(frags: list[bytes], some: np.ndarray, sizes: np.ndarray, low: np.nda
     return some[owner[at]], nth[at], nth[at] + np.diff(np.append(at, len(owner))), doc[at]
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, kept (binary: what is left of its text) and spans (removed
     stretches, in bytes of its text)."""
     spark = docs.sparkSession
@@ -310,12 +327,11 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     def send_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                key, several = Block(r.ids, r.lens, r.data, length).distinct_keys()
-                where = (key % np.uint64(buckets)).astype(np.int64)
+                sent = Block(r.ids, r.lens, r.data, length).distinct_keys()
+                where = ((sent >> np.uint64(6)) % np.uint64(buckets)).astype(np.int64)
                 out = []
                 for i in np.unique(where):
-                    k = (key[where == i] << np.uint64(1)) | several[where == i]
-                    gaps = np.diff(k, prepend=np.uint64(0))
+                    gaps = np.diff(sent[where == i], prepend=np.uint64(0))
                     planes = gaps.view(np.uint8).reshape(-1, 8)[:, :7].T
                     out.append((int(i), r.block, pack(np.ascontiguousarray(planes))))
                 yield pd.DataFrame(out, columns=["bucket", "block", "keys"])
@@ -327,11 +343,17 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             gaps = np.zeros((planes.shape[1], 8), np.uint8)
             gaps[:, :7] = planes.T
             lists.append(np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64))
-        every = np.concatenate(lists)
-        keys, n = np.unique(every >> np.uint64(1), return_counts=True)
-        several = every[(every & np.uint64(1)) == 1] >> np.uint64(1)
-        repeated = np.union1d(keys[n > 1], several)
-        found = [pack(np.intersect1d(x >> np.uint64(1), repeated, assume_unique=True)) for x in lists]
+        every = np.sort(np.concatenate(lists))
+        key, runs, several = told_apart(every)
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+        blocks_of = np.diff(np.append(at, len(key)))
+        repeated = (blocks_of > 1) | np.logical_or.reduceat(several, at) if len(at) else np.zeros(0, bool)
+        is_hot = np.add.reduceat(runs, at) > hot if len(at) else np.zeros(0, bool)
+        known = key[at][repeated] << np.uint64(1) | is_hot[repeated].astype(np.uint64)
+        found = []
+        for x in lists:
+            _, _, i = np.intersect1d(x >> np.uint64(6), known >> np.uint64(1), assume_unique=True, return_indices=True)
+            found.append(pack(known[i]))
         return pd.DataFrame({"block": b["block"], "keys": found})
 
     def repeated_of(lists) -> np.ndarray:
@@ -391,16 +413,16 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                     occurs = block.fragments(repeated_of(r.keys), buckets)
                     for s in r.settled:
                         frag, a, e, d = unpack(s["rows"], np.int64).reshape(4, -1)
-                        run, number = occurs[s["bucket"]][2]
+                        first_of, doc_of, number = occurs[s["bucket"]][2]
                         # all stretches of all occurrences
                         per = np.bincount(frag, minlength=number.max() + 1)
                         first = np.concatenate([[0], np.cumsum(per)[:-1]])
                         n = per[number]
                         row = np.repeat(first[number] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                        at = np.repeat(run, n)
-                        cut = d[row] < block.ids[block.doc[at]]
-                        np.add.at(mark, block.first[at][cut] + a[row][cut], 1)
-                        np.add.at(mark, block.first[at][cut] + e[row][cut] - 1 + length, -1)
+                        begin = np.repeat(first_of, n)
+                        cut = d[row] < block.ids[np.repeat(doc_of, n)]
+                        np.add.at(mark, begin[cut] + a[row][cut], 1)
+                        np.add.at(mark, begin[cut] + e[row][cut] - 1 + length, -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 out = []
                 for i, d in enumerate(block.ids.tolist()):
