@@ -12,13 +12,14 @@ as many as the item has.
    that run for any item, therefore meets every leak.  Only windows around such seeds are
    fingerprinted; all others are known to be clean.
 2. Each of those windows gets a 64-bit SimHash of its shingles, weighted by count.
-3. The fingerprint is cut into ``RADIUS`` + 1 blocks.  Two fingerprints within RADIUS bits agree in
-   at least one block, so an equi-join of blocks with the items of the same size finds
-   all of them.  (At a similarity of 0.8 the distance is 10 +- 3 bits; 21 is four deviations off.)
+3. The fingerprint is cut into ``BLOCKS`` blocks.  Two fingerprints within ``RADIUS`` bits differ by ``OFF`` bits
+   at most in at least one block, so every item is indexed, in each block, by all values that near to its own; an equi-join
+   with the windows' blocks finds all items of the window's size within the radius.  (At a similarity of 0.8 the distance is
+   10 +- 3 bits; 23 is more than four deviations off.)
 4. Candidates within the radius are verified exactly.
 
-The benchmark does not grow with the corpus.  Its shingles are broadcast while they are fewer than
-``BROADCAST_ROWS``; a larger one is joined by a shuffle.
+The benchmark does not grow with the corpus.  Its shingles and its index (``len(MASKS)`` rows a block and item, without
+shingles) are each broadcast while they are counted to be fewer than ``BROADCAST_ROWS``; a larger one is joined by a shuffle.
 
 Defined cases: null or empty texts (of items or documents) hold nothing and match nothing; a null
 doc_id is reported with a null; rows that repeat a doc_id are reported together; items that
@@ -34,7 +35,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import ASCII_SPACE, lower_ascii, materialize, table
 
-K, SIMILAR, RADIUS = 5, 0.8, 21
+K, SIMILAR, BLOCKS, OFF = 5, 0.8, 8, 2
+RADIUS = BLOCKS * (OFF + 1) - 1  # beyond it, all blocks may differ by more than OFF
+WIDTH = 64 // BLOCKS
+MASKS = [m for m in range(1 << WIDTH) if m.bit_count() <= OFF]
 BROADCAST_ROWS = 500_000
 LANES = 0x0001000100010001
 
@@ -76,9 +80,8 @@ def simhash(s: Column) -> Column:
 
 
 def blocks(fp: Column) -> Column:
-    """RADIUS + 1 blocks of a fingerprint as (number, value)."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
+    """The blocks of a fingerprint as (number, value)."""
+    return F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fp, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1)).cast("int").alias("value")) for i in range(BLOCKS)])
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -91,6 +94,12 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def hamming_index(items: DataFrame) -> DataFrame:
+    """item_id, n, item_fp, no, value: all values near an item's in each block."""
+    b = items.select("item_id", "n", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"))).alias("b"))
+    return b.select("item_id", "n", "item_fp", "b.no", F.explode(F.transform(F.lit(MASKS), lambda m: F.col("b.value").bitwiseXOR(m))).alias("value"))
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, n (words), k, sh (shingles), fp."""
     b = benchmark.select("item_id", words(F.coalesce("text", F.lit(""))).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
@@ -134,16 +143,16 @@ def _leaks(d: DataFrame, items: DataFrame, k: int, step: int) -> DataFrame:
     found = found.where(F.size("sh") > 0).withColumn("fp", simhash(F.col("sh")))
     # 3. all items of that size within the radius: they share a block
     left = found.select("*", F.explode(blocks(F.col("fp"))).alias("b")).select("*", "b.no", "b.value").drop("b")
-    right = items.select("item_id", "n", F.col("sh").alias("item_sh"), F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"))).alias("b")).select("*", "b.no", "b.value").drop("b")
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = left.join(fits(right), ["n", "no", "value"]).withColumn("distance", distance.cast("int")).where(F.col("distance") <= RADIUS)
-    # a pair is taken at the first block it shares
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
+    right = hamming_index(items)
+    right = F.broadcast(right) if items.count() * BLOCKS * len(MASKS) <= BROADCAST_ROWS else right
     x = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    shared = F.coalesce(*[F.when(F.shiftrightunsigned(x, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
-    near = near.where(F.col("no") == shared)
+    near = left.join(right, ["n", "no", "value"]).withColumn("distance", F.bit_count(x).cast("int")).where(F.col("distance") <= RADIUS)
+    # a pair is taken at the first block in which it is near
+    first_near = F.coalesce(*[F.when(F.bit_count(F.shiftrightunsigned(x, WIDTH * i).bitwiseAND(F.lit((1 << WIDTH) - 1))) <= OFF, F.lit(i)) for i in range(BLOCKS)])
+    near = near.where(F.col("no") == first_near).select("doc_id", "start", "sh", "n", "item_id", "item_fp", "distance")
     # 4. exactly
-    sure = near.withColumn("similarity", similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= SIMILAR)
+    sure = near.join(fits(items.select("item_id", "n", F.col("fp").alias("item_fp"), F.col("sh").alias("item_sh"))), ["item_id", "n", "item_fp"])
+    sure = sure.withColumn("similarity", similarity(F.col("sh"), F.col("item_sh"))).where(F.col("similarity") >= SIMILAR)
     return sure.select("doc_id", "item_id", "start", (F.size("sh") + k - 1).alias("n_words"), "distance", "similarity")
 
 
