@@ -1,19 +1,21 @@
 """Line dedup: two Bloom filters find suspects, only suspects shuffle for exact counts.
 
 Pass 1 hashes every distinct line key of every document into a pair of Bloom filters
-(once-seen, twice-seen).  Pairs merge without false negatives: once = a|b,
+(once-seen, twice-seen) of ``BITS_PER_KEY`` bits a key.  Pairs merge without false negatives: once = a|b,
 twice = ta|tb|(oa&ob), so tasks build theirs alone and segments of the bit array are merged
-on executors.  The filter's size follows the number of lines up to ``MAX_BITS`` (a fixed
-8 MB each), so what is broadcast is bounded; a fuller filter only lets more suspects pass.
+on executors.  A filter has ``MAX_BITS`` at most (8 MB).  Where the keys need more, their hashes are dealt out by
+range, 8 bytes each, as many ranges as filters are needed; each range builds its pair in one task and reports the
+hashes that it sees again.  So filters never fill up, and only repeats pass, however many lines there are.
 Pass 2 counts the documents of suspect keys exactly, on the key text itself, with partial
-counts per task before the shuffle, and finds the first occurrence (smallest doc_id).
+counts per task before the shuffle, and finds the first occurrence (smallest doc_id).  Suspects are known by the
+twice-seen filter or the reported hashes, broadcast up to ``BROADCAST_BYTES``; above that lines meet the hashes in a join.
 Pass 3 drops the lines.  The repeated keys are looked up from a broadcast while they are
 below ``BROADCAST_BYTES``; above that, lines are joined to them by key (a plain sort-merge
 join, which adaptive execution splits where one key is hot).
 
 Defined cases: null or empty text is one empty line; lines with an empty key always stay;
-null doc_id counts as one document of its own; repeated rows of one doc_id count once per
-row; empty table, empty result; columns other than doc_id and text pass through untouched.
+a row of null doc_id counts as one document of its own; rows that repeat a doc_id count as one
+document; empty table, empty result; columns other than doc_id and text pass through untouched.
 """
 
 from __future__ import annotations
@@ -60,8 +62,7 @@ def _hashes(texts: pd.Series, min_chars: int) -> np.ndarray:
     """Hashes of the distinct keys of each document, one after the other."""
     out: list[int] = []
     for t in texts:
-        _, keys = split_keys(t)
-        out += [xxhash.xxh3_64_intdigest(k) for k in set(keys) if k and (min_chars <= 1 or len(k.decode("utf-8", "surrogatepass")) >= min_chars)]
+        out += [xxhash.xxh3_64_intdigest(k) for k in _keys(t, min_chars)]
     return np.array(out, dtype=np.uint64)
 
 
@@ -87,6 +88,15 @@ class TwiceFilter:
             self.once[ka] = True
             self.once[kb] = True
 
+    def add_and_report(self, h: np.ndarray) -> np.ndarray:
+        """Add hashes; those that were there before, or are there more than once, come back."""
+        h, n = np.unique(h, return_counts=True)
+        a, b = _slots(h, self.bits)
+        more = (n > 1) | self.once[a] & self.once[b]
+        self.once[a] = self.once[b] = True
+        self.twice[a[more]] = self.twice[b[more]] = True
+        return h[more]
+
     def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
         step = min(self.bits, SEGMENT_BITS)
         for i in range(0, self.bits, step):
@@ -138,32 +148,85 @@ def suspected(h: np.ndarray, bits: int, twice: np.ndarray) -> np.ndarray:
     return twice[a] & twice[b]
 
 
+def seen_again(texts: DataFrame, min_chars: int, ranges: int, bits: int) -> DataFrame:
+    """h: the hashes that several documents have, by ranges of hashes with a pair of filters each; a table."""
+    shift = np.uint64(64 - (ranges - 1).bit_length()) if ranges > 1 else None
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = np.sort(_hashes(b["text"], min_chars))
+            part = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            yield pd.DataFrame({"part": part[at], "hashes": [x.tobytes() for x in np.split(h, at[1:])] if len(h) else []})
+
+    def filtered(key: tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f, found, n = TwiceFilter(bits), [], 0
+        for b in batches:
+            for x in b["hashes"]:
+                found.append(f.add_and_report(np.frombuffer(x, np.uint64)))
+                n += len(found[-1])
+                if n > 4_000_000:
+                    found, n = [np.unique(np.concatenate(found))], 0
+        yield pd.DataFrame({"h": np.unique(np.concatenate(found)).view(np.int64)})
+
+    return materialize(texts.select("text").mapInPandas(deal, "part long, hashes binary").groupBy("part").applyInPandas(filtered, "h long"), "seen-again")
+
+
+def _keys(text: str | None, min_chars: int) -> list[bytes]:
+    """The distinct keys of a document that count."""
+    return [k for k in set(split_keys(text)[1]) if k and (min_chars <= 1 or len(k.decode("utf-8", "surrogatepass")) >= min_chars)]
+
+
 def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     """key (binary), n_docs, first_doc of the keys found in at least min_docs documents."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    n_lines = texts.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    bits, segs = twice_filter(texts.select("text"), lambda b: _hashes(b["text"], min_chars), int(n_lines))
-    filt = spark.sparkContext.broadcast((bits, segs))
+    n_lines = int(texts.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0)
+    ids = texts.where("doc_id IS NOT NULL").groupBy("doc_id").count()
+    by_row = ids.where("count > 1").isEmpty()  # else a key's documents are told apart before they are counted
+    again, filt = None, None
+    if BITS_PER_KEY * n_lines <= MAX_BITS:
+        filt = spark.sparkContext.broadcast(twice_filter(texts.select("text"), lambda b: _hashes(b["text"], min_chars), n_lines))
+    else:
+        ranges = 1
+        while ranges * MAX_BITS < BITS_PER_KEY * n_lines:
+            ranges *= 2
+        again = seen_again(texts, min_chars, ranges, MAX_BITS)
+        if again.count() * 8 <= BROADCAST_BYTES:
+            filt, again = spark.sparkContext.broadcast(np.sort(np.array([r["h"] for r in again.toLocalIterator()], np.int64).view(np.uint64))), None
 
     def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, segs = filt.value
-        twice = unpack(bits, segs)
+        known = filt.value if filt is not None else None
+        twice = unpack(*known) if isinstance(known, tuple) else None
         for b in batches:
-            count: Counter[bytes] = Counter()
-            first: dict[bytes, int] = {}
+            count: Counter[tuple[bytes, Any]] = Counter()
+            first: dict[tuple[bytes, Any], int] = {}
+            hashes: dict[bytes, int] = {}
             for d, t in zip(b["doc_id"], b["text"]):
-                keys = [k for k in set(split_keys(t)[1]) if k and (min_chars <= 1 or len(k.decode("utf-8", "surrogatepass")) >= min_chars)]
+                keys = _keys(t, min_chars)
                 if not keys:
                     continue
                 h = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], dtype=np.uint64)
-                for i in np.flatnonzero(suspected(h, bits, twice)):
-                    count[keys[i]] += 1
-                    if not pd.isna(d):
-                        first[keys[i]] = min(first.get(keys[i], int(d)), int(d))
-            yield pd.DataFrame({"key": list(count), "n": list(count.values()), "first": pd.array([first.get(k) for k in count], "Int64")})
-
-    found = map_pandas(texts, suspects, "key binary, n long, first long")
+                if known is None:
+                    hashes.update(zip(keys, h.view(np.int64).tolist()))
+                elif twice is not None:
+                    keys = [keys[i] for i in np.flatnonzero(suspected(h, known[0], twice))]
+                else:
+                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                    keys = [keys[i] for i in np.flatnonzero(known[at] == h)] if len(known) else []
+                d = None if pd.isna(d) else int(d)
+                for k in keys:
+                    x = k, None if by_row else d
+                    count[x] += 1
+                    if d is not None:
+                        first[x] = min(first.get(x, d), d)
+            yield pd.DataFrame({"key": [k for k, _ in count], "n": list(count.values()), "first": pd.array([first.get(x) for x in count], "Int64"), "h": pd.array([hashes.get(k) for k, _ in count], "Int64")})
+
+    found = map_pandas(texts, suspects, "key binary, n long, first long, h long")
+    if again is not None:
+        found = found.join(again.hint("merge"), "h", "left_semi")
+    if not by_row:
+        found = found.groupBy("key", "first").agg(F.sum("n").alias("n")).withColumn("n", F.when(F.col("first").isNull(), F.col("n")).otherwise(1))
     return found.groupBy("key").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first_doc")).where(F.col("n_docs") >= min_docs)
 
 
@@ -233,13 +296,13 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH l AS (
-  SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+  SELECT doc_id, doc, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, doc, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+        FROM (SELECT doc_id, row_number() OVER () AS doc, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
 ), heavy AS (
-  SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) + count(DISTINCT CASE WHEN doc_id IS NULL THEN doc END) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(h.key) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE h.key IS NULL), '')) AS kept_sha256
-FROM l LEFT JOIN heavy h ON l.key = h.key GROUP BY doc_id
+FROM l LEFT JOIN heavy h ON l.key = h.key GROUP BY doc_id, doc
 """
