@@ -1,4 +1,6 @@
-"""Types and golden documents that several tests use."""
+"""Types and golden documents that several tests use.
+
+Fixed values: the sample types, and the bytes that their documents have in the format of page files."""
 
 from __future__ import annotations
 
