@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import free_shuffles, map_pandas, materialize, table
 from quern.llm.shingles import prefix_sums, range_hashes
 
-BLOCK, BUCKET_BYTES, SORT_BYTES = 2 << 20, 8 << 20, 2 << 20
+BLOCK, BUCKET_BYTES, SORT_BYTES, HASH_BYTES = 8 << 20, 16 << 20, 2 << 20, 1 << 20
 V, COVER = 13, (0, 1, 3, 9)
 SORT_AT_ONCE = 1 << 18
 HOT = 4096
@@ -160,12 +160,25 @@ def window_keys(data: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - span)], h[w - span :]) if w > span else h
 
 
+ZIP, UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # made once: messages are many and small
+
+
 def pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return ZIP.compress(a.tobytes())
 
 
 def unpack(b: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    return np.frombuffer(UNZIP.decompress(b), kind)
+
+
+def window_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at ascending positions, ``HASH_BYTES`` of data at a time."""
+    cuts, parts = np.searchsorted(at, np.arange(0, len(data) + HASH_BYTES, HASH_BYTES)), [np.zeros(0, np.uint64)]
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        lo = i * HASH_BYTES
+        p = at[cuts[i] : cuts[i + 1]] - lo
+        parts.append(range_hashes(prefix_sums(data[lo : lo + HASH_BYTES + length]), p, p + length))
+    return np.concatenate(parts)
 
 
 class Block:
@@ -208,7 +221,7 @@ class Block:
         single = np.repeat(self.first[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())  # windows of hot keys
         first, end = np.concatenate([self.first[runs], single]), np.concatenate([self.end[runs], single + 1])
         doc = np.concatenate([self.doc[runs], np.repeat(self.doc[hot], n)])
-        own = range_hashes(prefix_sums(self.data), single, single + self.length) if len(single) else self.key[:0]
+        own = window_hashes(self.data, single, self.length)
         where = (np.concatenate([self.key[runs], own]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         raw, out = self.data.tobytes(), {}
@@ -227,6 +240,46 @@ def told_apart(sent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sent >> np.uint64(6), np.int64(1) << (sent >> np.uint64(1) & np.uint64(31)).astype(np.int64), (sent & np.uint64(1)) == 1
 
 
+def keys_by_bucket(sent: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """The sorted keys of a block for each bucket, as gaps byte by byte: one pass, however many buckets there are."""
+    if not len(sent):
+        return []
+    where = ((sent >> np.uint64(6)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(where, kind="stable")
+    where, sent = where[order], sent[order]
+    cut = np.append(0, np.flatnonzero(where[1:] != where[:-1]) + 1)
+    out = []
+    for i, lo, hi in zip(where[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(sent)]):
+        gaps = np.diff(sent[lo:hi], prepend=np.uint64(0))
+        out.append((i, pack(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :7].T))))
+    return out
+
+
+def repeated_keys(messages: list[bytes], hot: int) -> list[bytes]:
+    """For each block's message to a bucket, those of its keys that several documents have; the lowest bit tells keys of
+    more than ``hot`` runs.  Each message costs what it holds, not what the bucket holds."""
+    lists = []
+    for x in messages:
+        planes = unpack(x, np.uint8).reshape(7, -1)
+        gaps = np.zeros((planes.shape[1], 8), np.uint8)
+        gaps[:, :7] = planes.T
+        lists.append(np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64))
+    every = np.sort(np.concatenate(lists))
+    key, runs, several = told_apart(every)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    blocks_of = np.diff(np.append(at, len(key)))
+    repeated = (blocks_of > 1) | np.logical_or.reduceat(several, at) if len(at) else np.zeros(0, bool)
+    is_hot = np.add.reduceat(runs, at) > hot if len(at) else np.zeros(0, bool)
+    key, is_hot = key[at][repeated], is_hot[repeated].astype(np.uint64)
+    found = []
+    for x in lists:
+        x = x >> np.uint64(6)
+        i = np.searchsorted(key, x)
+        i = i[key[np.minimum(i, len(key) - 1)] == x] if len(key) else i[:0]
+        found.append(pack(key[i] << np.uint64(1) | is_hot[i]))
+    return found
+
+
 def pack_documents(docs: DataFrame) -> DataFrame:
     """block, n_bytes, ids, lens, data of the documents in blocks."""
 
@@ -274,8 +327,12 @@ def _lowest(frags: list[bytes], low: np.ndarray, length: int) -> tuple[np.ndarra
     every = np.arange(len(frags))
     sizes = np.array([len(f) for f in frags], np.int64)
     whole = np.frombuffer(b"".join(frags), np.uint8)
-    begins = np.cumsum(sizes) - sizes
-    _, back, n = np.unique(first_keys(whole, begins, length), return_inverse=True, return_counts=True)
+    begins, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes)
+    parts = []
+    cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, len(whole), HASH_BYTES)), len(frags)))
+    for lo, hi in zip(cuts, cuts[1:]):
+        parts.append(first_keys(whole[begins[lo] : ends[hi - 1]], begins[lo:hi] - begins[lo], length))
+    _, back, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     alone = n[back] == 1  # no other fragment has its key, so none has its windows
     a = every[alone]
     sure = (a, np.zeros(len(a), np.int64), sizes[a] - length + 1, low[a])
@@ -327,34 +384,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
     def send_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                sent = Block(r.ids, r.lens, r.data, length).distinct_keys()
-                where = ((sent >> np.uint64(6)) % np.uint64(buckets)).astype(np.int64)
-                out = []
-                for i in np.unique(where):
-                    gaps = np.diff(sent[where == i], prepend=np.uint64(0))
-                    planes = gaps.view(np.uint8).reshape(-1, 8)[:, :7].T
-                    out.append((int(i), r.block, pack(np.ascontiguousarray(planes))))
+                out = [(i, r.block, x) for i, x in keys_by_bucket(Block(r.ids, r.lens, r.data, length).distinct_keys(), buckets)]
                 yield pd.DataFrame(out, columns=["bucket", "block", "keys"])
 
     def find_repeated(b: pd.DataFrame) -> pd.DataFrame:
-        lists = []
-        for x in b["keys"]:
-            planes = unpack(x, np.uint8).reshape(7, -1)
-            gaps = np.zeros((planes.shape[1], 8), np.uint8)
-            gaps[:, :7] = planes.T
-            lists.append(np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64))
-        every = np.sort(np.concatenate(lists))
-        key, runs, several = told_apart(every)
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-        blocks_of = np.diff(np.append(at, len(key)))
-        repeated = (blocks_of > 1) | np.logical_or.reduceat(several, at) if len(at) else np.zeros(0, bool)
-        is_hot = np.add.reduceat(runs, at) > hot if len(at) else np.zeros(0, bool)
-        known = key[at][repeated] << np.uint64(1) | is_hot[repeated].astype(np.uint64)
-        found = []
-        for x in lists:
-            _, _, i = np.intersect1d(x >> np.uint64(6), known >> np.uint64(1), assume_unique=True, return_indices=True)
-            found.append(pack(known[i]))
-        return pd.DataFrame({"block": b["block"], "keys": found})
+        return pd.DataFrame({"block": b["block"], "keys": repeated_keys(list(b["keys"]), hot)})
 
     def repeated_of(lists) -> np.ndarray:
         return np.sort(np.concatenate([unpack(x, np.uint64) for x in lists])) if lists is not None and len(lists) else np.zeros(0, np.uint64)
@@ -408,7 +442,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
         for b in batches:
             for r in b.itertuples():
                 block = Block(r.ids, r.lens, r.data, length)
-                mark = np.zeros(len(block.data) + 1, np.int64)
+                mark = np.zeros(len(block.data) + 1, np.int32)
                 if r.settled is not None:
                     occurs = block.fragments(repeated_of(r.keys), buckets)
                     for s in r.settled:
@@ -423,7 +457,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot: int = HOT) -> DataFra
                         cut = d[row] < block.ids[np.repeat(doc_of, n)]
                         np.add.at(mark, begin[cut] + a[row][cut], 1)
                         np.add.at(mark, begin[cut] + e[row][cut] - 1 + length, -1)
-                gone = np.cumsum(mark[:-1]) > 0
+                gone = np.cumsum(mark[:-1], out=mark[:-1]) > 0
                 out = []
                 for i, d in enumerate(block.ids.tolist()):
                     x, y = block.starts[i], block.starts[i + 1]
