@@ -697,6 +697,34 @@ def test_a_family_of_near_copies_over_several_hubs(spark):
     assert got == brute_components(rows) and len(set(got.values())) > 3
 
 
+def test_documents_that_cannot_link_are_not_indexed(spark, monkeypatch):
+    """Texts that share passages, but less than 80 per cent of their shingles, make no index entries; near copies do,
+    whatever block they are in."""
+    rows = [(i, f"{prose(30, 3000 + i)} {prose(12, 50 + i % 9)} {prose(30, 5000 + i)}") for i in range(300)]
+    rows += [(1000 + i, prose(60, 900 + i % 20) + f" end{i}") for i in range(40)]
+    sets = {d: shingle_set(t).tolist() for d, t in rows}
+    from collections import Counter
+
+    df = Counter(x for s in sets.values() for x in s)
+    able = {d for d, s in sets.items() if 100 * sum(df[x] > 1 for x in s) >= 80 * len(s)}
+    assert set(range(1000, 1040)) <= able and len(able) < 60
+    indexed, write = [], jaccard.materialize
+
+    def spy(d, name):
+        out = write(d, name)
+        if name == "index":
+            indexed.extend(i for r in out.select("ids").collect() for i in jaccard.unpack(r["ids"], np.int64).tolist())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.component_ids(docs).collect()}
+    assert got == brute_components(rows) and len(set(got.values())) == 320
+    assert set(indexed) <= able and len(indexed) >= 40
+    kept = {r["doc_id"]: r["n"] for r in jaccard.may_link(docs, sum(map(len, sets.values()))).collect()}
+    assert kept == {d: len(sets[d]) for d in able}
+
+
 def test_rows_of_one_doc_id_bring_all_their_links(spark):
     a, b = prose(60, 31), prose(60, 32)
     rows = [(7, a), (7, b), (9, a), (3, b + " end"), (5, a + " tail"), (5, "quite another text of its own"), (None, a)]
