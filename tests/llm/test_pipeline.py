@@ -108,6 +108,28 @@ def test_odd_ids(spark):
     assert key(p.remove_benchmark_leaks(spark, docs, SF).collect()) == want([1, 2, 3, 4, 5, 6, 8])
 
 
+def test_near_copies_are_sought_among_documents_that_can_link(spark, monkeypatch):
+    """The third stage indexes no text that shares only a passage with others, and drops the same documents."""
+    import corpus_pipeline as p
+    from quern.llm import jaccard
+
+    words = lambda s, n: " ".join(f"{s}x{i}" for i in range(n))
+    rows = [(i, f"{words(f'a{i}', 30)} {words(f'p{i % 7}', 12)} {words(f'b{i}', 30)}") for i in range(150)] + [(500 + i, f"{words(f'c{i % 5}', 60)} end{i}") for i in range(20)]
+    indexed, write = [], jaccard.materialize
+
+    def spy(d, name):
+        out = write(d, name)
+        if name == "index":
+            indexed.extend(i for r in out.select("ids").collect() for i in jaccard.unpack(r["ids"], "int64").tolist())
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = {r["doc_id"] for r in p.keep_one_of_near_copies(spark, docs, SF).collect()}
+    assert got == {d for d, c in brute_components(rows).items() if c == d} == {*range(150), *range(500, 505)}
+    assert set(indexed) == set(range(500, 520))
+
+
 def test_run(spark):
     import corpus_pipeline as p
 
