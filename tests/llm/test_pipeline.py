@@ -1,10 +1,12 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +132,39 @@ def test_near_copies_are_sought_among_documents_that_can_link(spark, monkeypatch
     assert set(indexed) == set(range(500, 520))
 
 
+def test_documents_that_cannot_link_cost_little_disk(spark, monkeypatch):
+    """The third stage neither writes nor shuffles all tokens of texts that share nothing, and loses no near copy."""
+    import corpus_pipeline as p
+    from quern.llm import jaccard
+
+    words = lambda s, n: " ".join(f"{s}x{i}" for i in range(n))
+    rows = [(i, words(f"a{i}", 504)) for i in range(400)] + [(400 + i, words(f"c{i % 10}", 60) + " end" * (1 + i // 10)) for i in range(30)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).localCheckpoint()
+    bus, store, write, tables = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore(), jaccard.materialize, []
+
+    def shuffled():
+        bus.waitUntilEmpty(30_000)
+        return store.executorSummary("driver").totalShuffleWrite()
+
+    def spy(d, name):
+        out = write(d, name)
+        tables.append(sum(os.path.getsize(urlparse(f).path) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    before, known = shuffled(), docs.select("doc_id", "text")
+    n_tokens = 400 * 500 + sum(len(jaccard.shingle_set(t)) for _, t in rows[400:])
+    kept, _, n = jaccard.candidates(known, n_tokens)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(400, 430)) and n == n_tokens - 400 * 500
+    assert shuffled() - before + sum(tables) < 2 * n_tokens
+    for share in (0.05, 0.4, 0.7):  # what part of the tokens shows leaves out no document that links
+        got = {r["doc_id"]: r["n"] for r in jaccard.may_link(known, n_tokens, share).collect()}
+        assert set(range(400, 430)) <= set(got) and all(m == len(jaccard.shingle_set(rows[d][1])) for d, m in got.items())
+        assert share < 0.4 or len(got) == 30
+    gone = {d for d, c in brute_components(rows).items() if c != d}
+    assert {r["doc_id"] for r in p.keep_one_of_near_copies(spark, docs, SF).collect()} == set(range(430)) - gone and len(gone) == 20
+
+
 def test_run(spark):
     import corpus_pipeline as p
 
